@@ -20,7 +20,7 @@ def odd_texts(n=300):
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "x", t, "clash") for i, t in enumerate(odd_texts())] + [(None, None, None, "t", "c"), (3, "again", "", "", ""), (3, "again", "", "", "")]
+    rows = [(i, t, "x", t, "clash") for i, t in enumerate(odd_texts())] + [(None, None, None, "t", "c"), (9003, "again", "", "", ""), (9003, "again", "", "", "")]
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_tokens string, seq string").repartition(3)
 
 
