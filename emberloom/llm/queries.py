@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, token_count
+from . import chat, decontaminate, langid, packing, parsing, simhash, token_count
 from .common import table
 
 
@@ -18,6 +19,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.digest(chat.render(chat.fold(chat.events_of_rows(rows.unionByName(extra)))))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = docs.select("*", langid.is_held_out().alias("held_out"))
+    model = langid.fit(held.where("not held_out"))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -26,5 +42,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op7_packing, op8_token_counts)}
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_chat_format, op5_language_id, op7_packing, op8_token_counts, op9_fingerprints)}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op4_chat_format": chat.ORACLE}
