@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, parsing, simhash, token_count
+from . import chat, decontaminate, html_text, langid, packing, parsing, simhash, token_count
 from .common import table
 
 
@@ -46,5 +46,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_chat_format, op5_language_id, op7_packing, op8_token_counts, op9_fingerprints)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_chat_format, op5_language_id, op7_packing, op8_token_counts, op9_fingerprints, op10_html_text)}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op4_chat_format": chat.ORACLE}
