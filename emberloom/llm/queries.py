@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, langid, packing, parsing, simhash, token_count
+from . import chat, decontaminate, html_text, langid, licenses, packing, parsing, simhash, token_count
 from .common import table
 
 
@@ -15,6 +15,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; theirs are source, thousands and hundreds of the id,
+    where a round id stands in the directory above. Any document that states a license
+    states it for its directory."""
+    d = F.col("doc_id")
+    place = F.when(d % 1000 == 0, F.array("source")).when(d % 100 == 0, F.array(F.col("source"), F.expr("cast(doc_id div 1000 as string)"))).otherwise(
+        F.array(F.col("source"), F.expr("cast(doc_id div 1000 as string)"), F.expr("cast(doc_id div 100 as string)"))
+    )
+    path = F.concat(F.array_join(place, "/"), F.lit("/"), F.coalesce(d.cast("string"), F.lit("")), F.lit(".txt"))
+    files = table(spark, sf_dir, "documents").select(d.alias("key"), path.alias("path"), "text")
+    return licenses.scan(files, every_statement=True).withColumnRenamed("key", "doc_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,5 +63,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_chat_format, op5_language_id, op7_packing, op8_token_counts, op9_fingerprints, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_simhash, op4_chat_format, op5_language_id, op7_packing, op8_token_counts, op9_fingerprints, op10_html_text)}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op4_chat_format": chat.ORACLE}
