@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, langid, licenses, packing, parsing, simhash, token_count
+from . import chat, decontaminate, html_text, langid, licenses, packing, parsing, simhash, suffix_dedup, token_count
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_substrings(table(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -63,5 +67,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_simhash, op4_chat_format, op5_language_id, op7_packing, op8_token_counts, op9_fingerprints, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_simhash, op4_chat_format, op5_language_id, op6_suffix_dedup, op7_packing, op8_token_counts, op9_fingerprints, op10_html_text)}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op4_chat_format": chat.ORACLE}
