@@ -289,3 +289,23 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double, spans array<struct<lang:string,first_word:bigint,end_word:bigint>>")
     return made.withColumnRenamed("doc_id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text has a language that holds min_score of its letters."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        labeller = Labeller(shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            keep: list[bool] = []
+            lo, size = 0, 0
+            for k in range(len(texts)):
+                size += len(texts[k]) // 6 + 1
+                if size >= BATCH_WORDS or k == len(texts) - 1:
+                    keep += [lang != "und" and score >= min_score for lang, score, _ in labeller.label(texts[lo : k + 1])]
+                    lo, size = k + 1, 0
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -418,15 +418,23 @@ def merged_spans(pairs: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(pairs[first, 0].tolist(), top[np.concatenate([first[1:], [len(pairs)]]) - 1].tolist(), strict=True))
 
 
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, removed (byte spans), kept (text, if asked for; broken characters are left out), kept_sha256."""
+def repeated_substrings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, n_bytes, removed (byte spans), kept (text, if asked for; broken characters are left out), kept_sha256.
+
+    Columns named in carry come along, as a struct column ``carried``.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    other = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
+    all_rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), other.alias("carried"))
+    rows = all_rows.select("doc_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     # ids that stand in several rows are told apart by a hash of the text; else the column is empty
     again = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    rows = rows.withColumn("sub", F.xxhash64("text") if again else F.lit(0).cast("bigint"))
+    sub = (F.xxhash64("text") if again else F.lit(0).cast("bigint")).alias("sub")
+    rows = rows.select("*", sub)
     splitters = spark.sparkContext.broadcast(_range_ends(rows, ranges, length))
     n_docs_parts = ranges
 
@@ -464,16 +472,18 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def buckets(batches):
         for batch in batches:
             own = [hash(LAST_ID if i is None else i) % n_docs_parts for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *batch.columns], names=["bucket", "doc_id", "text", "sub"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *batch.columns], names=["bucket", "doc_id", "text", "carried", "sub"])
 
-    texts = rows.mapInArrow(buckets, "bucket int, doc_id bigint, text string, sub bigint")
+    carried_ddl = all_rows.schema["carried"].dataType.simpleString()
+    texts = all_rows.select("*", sub).mapInArrow(buckets, f"bucket int, doc_id bigint, text string, carried {carried_ddl}, sub bigint")
     both = texts.withColumn("blob", F.lit(None).cast("binary")).unionByName(removals, allowMissingColumns=True)
 
     def cut(batches):
         bucket, spans = None, {}
         for batch in batches:
             out: list[tuple] = []
-            for k, doc_id, text, sub, blob in zip(*(batch.column(c) for c in ("bucket", "doc_id", "text", "sub", "blob")), strict=True):
+            rest: list[int] = []
+            for place, (k, doc_id, text, sub, blob) in enumerate(zip(*(batch.column(c) for c in ("bucket", "doc_id", "text", "sub", "blob")), strict=True)):
                 if k.as_py() != bucket:
                     bucket, spans = k.as_py(), defaultdict(list)
                 if blob.is_valid:
@@ -482,6 +492,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     for key, own in zip(zip(ids.tolist(), subs.tolist(), strict=True), np.split(pairs, np.cumsum(counts, dtype=np.int64)[:-1]), strict=True):
                         spans[key].append(own)
                     continue
+                rest.append(place)
                 data = (text.as_py() or "").encode("utf-8", "replace")
                 own = spans.get((doc_id.as_py() if doc_id.is_valid else LAST_ID, sub.as_py()))
                 gone = merged_spans(np.concatenate(own)) if own else []
@@ -497,13 +508,17 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 )
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(_DOC), pa.string(), pa.string()), strict=True)],
-                names=["doc_id", "n_bytes", "removed", "kept", "kept_sha256"],
+                [
+                    *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(_DOC), pa.string(), pa.string()), strict=True)),
+                    batch.column("carried").take(pa.array(rest, pa.int64())),
+                ],
+                names=["doc_id", "n_bytes", "removed", "kept", "kept_sha256", "carried"],
             )
 
     # a bucket's blobs come before its texts
     dealt = both.repartition(ranges, "bucket").sortWithinPartitions("bucket", F.col("blob").isNull())
-    return dealt.select("bucket", "doc_id", "text", "sub", "blob").mapInArrow(cut, SPANS_DDL).withColumnRenamed("doc_id", id_col)
+    made = dealt.select("bucket", "doc_id", "text", "sub", "blob", "carried").mapInArrow(cut, f"{SPANS_DDL}, carried {carried_ddl}")
+    return (made if carry else made.drop("carried")).withColumnRenamed("doc_id", id_col)
 
 
 def digest(found: DataFrame) -> DataFrame:
