@@ -16,8 +16,13 @@ by itself, repeated ids included; no rows give no pieces.
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import chunks
+from .tokens import PATTERN, Kept, byte_alphabet, chunks
 
 #: Tokens of a sequence at most.
 SEQUENCE = 1024
@@ -35,8 +40,10 @@ OPEN = 32
 SLACK = 0
 #: Partitions whose open windows are merged in one task.
 FAN_IN = 64
-#: Chunks whose ids a worker keeps at most.
-KEPT = 400_000
+#: Chunks whose ids a worker keeps, in each of two generations.
+KEPT = 300_000
+#: Signs on whose kind all Unicode versions agree: Latin and its punctuation, as a regex class.
+PLAIN = "\\x00-\u024f\u2010-\u2027"
 
 #: ids is filled only in windows that are still open.
 PIECES = "seq string, closed boolean, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, offset bigint, ids binary"
@@ -56,28 +63,57 @@ _ARROW = pa.schema(
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, chunk by chunk from a kept table."""
+    """Ids of a text as little-endian unsigned 32-bit bytes, chunk by chunk from a kept table.
+
+    The table is filled by the file's vocabulary as ranks, which gives the
+    library's ids; chunks with special strings or with signs outside
+    ``PLAIN``, where the two libraries' Unicode tables may differ, go to
+    the file's own library.
+    """
 
     def __init__(self, path: str, end_id: int = 0):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte_of = byte_alphabet()
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if all(c in byte_of for c in token)}
+        special = {t["content"] for t in spec["added_tokens"]}
+        for content in special:
+            ranks.pop(content.encode(), None)
+        self.special = re.compile("|".join([*map(re.escape, sorted(special)), f"[^{PLAIN}]"]))
+        self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.kept = Kept(self._fresh, KEPT)
         self.end = np.array([end_id], "<u4").tobytes()
 
+    def _fresh(self, chunks: list[str]) -> list[bytes]:
+        out = []
+        odd = self.special.search
+        encode = self.ranks.encode_ordinary
+        for c in chunks:
+            ids = self.library.encode(c, add_special_tokens=False).ids if odd(c) else encode(c)
+            out.append(pack_ids(ids))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [chunks(t) for t in texts]
-        missing = {c for own in cut for c in own if c not in self.known}
-        if len(self.known) + len(missing) > KEPT:
-            self.known.clear()
-            missing = {c for own in cut for c in own}
-        if missing:
-            order = list(missing)
-            self.known.update(
-                (c, np.array(e.ids, "<u4").tobytes())
-                for c, e in zip(order, self.library.encode_batch(order, add_special_tokens=False), strict=True)
-            )
-        return [b"".join(map(self.known.__getitem__, own)) + self.end for own in cut]
+        known = self.kept.of(set().union(*cut)).__getitem__
+        return [b"".join(map(known, own)) + self.end for own in cut]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """A worker's encoder, kept from task to task."""
+    return Encoder(path, end_id)
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
 
 
 class Packer:
@@ -152,13 +188,13 @@ def _first_pass(rows: DataFrame, path: str, end_id: int, size: int) -> DataFrame
     def pack(batches):
         from pyspark import TaskContext
 
-        encoder, packer = Encoder(path, end_id), Packer(f"0-{TaskContext.get().partitionId()}", size)
+        own_encoder, packer = encoder(path, end_id), Packer(f"0-{TaskContext.get().partitionId()}", size)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo in range(0, len(ids), 500):
                 made: list[tuple] = []
-                for doc, own in zip(ids[lo : lo + 500], encoder.encode(texts[lo : lo + 500]), strict=True):
+                for doc, own in zip(ids[lo : lo + 500], own_encoder.encode(texts[lo : lo + 500]), strict=True):
                     made += packer.add(doc, 0, own, len(own) // 4)
                 yield _batch(made)
         yield _batch(list(packer.rest()))

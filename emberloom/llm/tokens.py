@@ -13,10 +13,21 @@ import re
 
 import numpy as np
 
+#: Fixed value: how byte-level files of this kind cut texts into pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _RUNS = re.compile(r"\s\s")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each sign of byte-level vocabularies stands for: printable bytes for
+    themselves, the others, in order, as the code points from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 def chunks(text: str) -> list[str]:
     """The text in order, cut where pre-tokens cannot reach across."""
     if not text:
@@ -27,8 +38,26 @@ def chunks(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
-def utf8_safe(text: str | None) -> str:
-    return text or ""
+class Kept:
+    """What was computed for chunks, at most about 2 * limit of them: when the young
+    generation is full it becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self, compute, limit: int):
+        self.compute, self.limit = compute, limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, wanted: set) -> dict:
+        """A dict that holds at least all wanted."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        absent = wanted.difference(self.young)
+        again = absent.intersection(self.old)
+        self.young.update((c, self.old[c]) for c in again)
+        fresh = list(absent.difference(again))
+        if fresh:
+            self.young.update(zip(fresh, self.compute(fresh), strict=True))
+        return self.young
 
 
 class MergeTable:
