@@ -40,10 +40,13 @@ def staged(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 def merge_or_fail(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Union of both; a key with different contents fails the whole merge before anything is written."""
-    states = staged(current, incoming, key)
-    checked = states.withColumn("ok", F.when(F.col("state") == "conflict", F.raise_error(F.concat(F.lit("conflicting record "), F.col(key).cast("string")))))
-    fresh = incoming.join(checked.where("state = 'inserted' and ok is null").select(key), key, "left_semi")
-    return current.unionByName(fresh)
+    conflicts = staged(current, incoming, key).where("state = 'conflict'").agg(F.count("*").alias("n"), F.min(F.col(key).cast("string")).alias("k"))
+    failed = F.when(F.col("n") > 0, F.raise_error(F.concat(F.lit("conflicting record "), F.col("k")))).otherwise(F.lit(False))
+    # one row, joined to what would be written: nothing passes before the check did
+    checked = conflicts.select(failed.cast("boolean").alias("_failed"))
+    fresh = incoming.join(current.select(key), key, "left_anti")
+    both = current.unionByName(fresh).crossJoin(F.broadcast(checked))
+    return both.where(~F.coalesce("_failed", F.lit(False))).drop("_failed")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberloom.functions import codes, strings, vectors
@@ -765,4 +765,42 @@ def goods_floor(spark, sf_dir):
     return out.select("id", "pattern", F.round("p", 6).alias("p"), "grade", "goods_floor")
 
 
-del Window
+
+
+# --- phonetics (Arrow UDFs; no SQL form, tests hold them against brute force) ------
+
+
+def _name_pairs(spark, sf_dir):
+    n = read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    a, b = n.select(F.col("name").alias("name_a")), n.select(F.col("name").alias("name_b"))
+    return a.join(b, F.col("name_a") < F.col("name_b"))
+
+
+@query()
+def phonetic_similarity(spark, sf_dir):
+    from emberloom.functions import phonetic
+
+    return _name_pairs(spark, sf_dir).select("name_a", "name_b", F.round(phonetic.phonetic_similarity_udf("name_a", "name_b"), 4).alias("similarity"))
+
+
+@query()
+def spelling_v2(spark, sf_dir):
+    from emberloom.functions import phonetic
+
+    return _name_pairs(spark, sf_dir).select("name_a", "name_b", F.round(phonetic.assigned_similarity_udf("name_a", "name_b"), 4).alias("similarity"))
+
+
+@query()
+def lcs_rule(spark, sf_dir):
+    from emberloom.functions import phonetic
+
+    pairs = _name_pairs(spark, sf_dir).select("name_a", "name_b", phonetic.tokens_udf("name_a").alias("ta"), phonetic.tokens_udf("name_b").alias("tb"))
+    return pairs.select("name_a", "name_b", phonetic.common_run_udf("ta", "tb").alias("run"))
+
+
+@query()
+def hash_embed(spark, sf_dir):
+    from emberloom.functions import phonetic
+
+    n = read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    return n.select("name", F.transform(phonetic.hash_embedding_udf("name"), lambda x: F.round(x, 6)).alias("vector"))
