@@ -27,8 +27,9 @@ def provenance(**columns: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Lower-case runs of Latin letters, Hangul or digits; a run equal to the one before goes."""
     runs = F.regexp_extract_all(F.lower(c), F.lit("([a-z]+|[가-힣ㄱ-ㅎㅏ-ㅣ]+|[0-9]+)"), F.lit(1))
-    kept = F.filter(runs, lambda x, i: (i == 0) | (x != F.try_element_at(runs, i)))
-    return F.coalesce(kept, F.array())
+    before = F.concat(F.array(F.lit(None).cast("string")), runs)
+    kept = F.zip_with(runs, before, lambda x, y: F.when(y.isNull() | (x != y), x))
+    return F.coalesce(F.filter(kept, lambda x: x.isNotNull()), F.array())
 
 
 def without(all_tokens: Column, generic: Column) -> Column:
