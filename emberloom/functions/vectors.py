@@ -34,7 +34,8 @@ def is_unit(v: Column | str, tolerance: float = 1e-3) -> Column:
 
 
 def clip01(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    """x cut to [0, 1]; null stays null (greatest and least would skip it)."""
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def recalibrated(cosine: Column, base: float) -> Column:

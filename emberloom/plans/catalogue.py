@@ -556,11 +556,11 @@ def confusion(spark, sf_dir):
     return p.agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(F.col("o_orderpriority") == "5-LOW").alias("low"), F.count("*").alias("total"))
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 6) AS mean, grouping_id(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())")
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 4) AS mean, grouping_id(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())")
 def grouping_report(spark, sf_dir):
     read(spark, sf_dir, "lineitem").createOrReplaceTempView("_items")
     return spark.sql(
-        "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 6) AS mean, CAST(grouping_id(l_returnflag, l_linestatus) AS BIGINT) AS level "
+        "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 4) AS mean, CAST(grouping_id(l_returnflag, l_linestatus) AS BIGINT) AS level "
         "FROM _items GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())"
     )
 
@@ -804,3 +804,22 @@ def hash_embed(spark, sf_dir):
 
     n = read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     return n.select("name", F.transform(phonetic.hash_embedding_udf("name"), lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query()
+def search_flagship(spark, sf_dir):
+    """Parts as marks with their supplier brands as codes and embeddings by id; eight queries of all input kinds."""
+    from emberloom.operators import search
+
+    p, e = read(spark, sf_dir, "part"), read(spark, sf_dir, "embeddings")
+    code = F.array(F.concat(F.lit("G"), F.lpad(F.regexp_extract("p_brand", "[0-9]+", 0), 4, "0")), F.concat(F.lit("S"), F.lpad(F.col("p_size").cast("string"), 4, "0")))
+    m = p.join(e, p["p_partkey"] == e["vec_id"], "left").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), code.alias("codes"), "embedding")
+    pick = m.where("id % 25 = 1 and id < 200")
+    q = pick.select(
+        F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 1, F.col("title")).alias("name"), F.when(F.col("id") % 3 != 0, F.col("codes")).alias("goods"),
+        F.when(F.col("id") % 4 != 3, F.col("embedding")).alias("embedding"), F.lit("text").alias("mark_type"),
+    )
+    stats = corpus.token_stats(p.select(F.col("p_name").alias("title"), F.col("p_brand").alias("owner")))
+    words = stats.select("token", (F.log10("n") + 2).alias("zipf"))
+    found = search.candidates(q, m, stats, words, 5)
+    return found.select("query_id", "id", "rank", "grade", "pattern", F.round("p", 6).alias("p"), "sources")
