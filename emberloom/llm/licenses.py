@@ -189,3 +189,39 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, every_statement: bool =
     own = materialise(own_licenses(files, corpus_weights(files), threshold), "licenses")
     states = own.where(F.col("own").isNotNull() & (F.lit(every_statement) | F.coalesce("names_directory", F.lit(False))))
     return inherit(own, states.select("dir", F.col("own.license").alias("license")))
+
+
+def _oracle() -> str:
+    values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+    return f"""
+WITH t(k, license, text) AS (VALUES {values}),
+tt AS (SELECT DISTINCT k, license, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM t),
+files AS (SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM (
+  SELECT doc_id, CASE WHEN doc_id % 1000 = 0 THEN source WHEN doc_id % 100 = 0 THEN concat_ws('/', source, doc_id // 1000)
+    ELSE concat_ws('/', source, doc_id // 1000, doc_id // 100) END || '/' || doc_id || '.txt' AS path FROM documents)),
+l AS (SELECT doc_id, row_number() OVER () AS line_id, list_distinct(regexp_extract_all(lower(line), '{TERM}')) AS own
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+n AS (SELECT count(*) AS n FROM l),
+e AS (SELECT doc_id, line_id, unnest(own) AS term FROM l),
+v AS (SELECT DISTINCT term FROM tt),
+df AS (SELECT term, count(*) AS c FROM e JOIN v USING (term) GROUP BY term),
+w AS (SELECT v.term, pow(ln((1 + n.n) / CAST(1 + coalesce(df.c, 0) AS DOUBLE)) + 1, 2) AS w2 FROM v LEFT JOIN df USING (term) CROSS JOIN n),
+o AS (SELECT pow(ln((1 + n) / 2.0) + 1, 2) AS other FROM n),
+line_norm AS (SELECT line_id, sqrt(sum(coalesce(w.w2, o.other))) AS norm FROM e LEFT JOIN w USING (term) CROSS JOIN o GROUP BY line_id),
+template_norm AS (SELECT k, any_value(license) AS license, sqrt(sum(w2)) AS norm FROM tt JOIN w USING (term) GROUP BY k),
+c AS (SELECT e.doc_id, e.line_id, tt.k, sum(w.w2) AS dot FROM e JOIN tt USING (term) JOIN w USING (term) GROUP BY ALL),
+s AS (SELECT c.doc_id, c.line_id, c.k, tn.license, round(c.dot / (ln.norm * tn.norm), 9) AS score FROM c JOIN line_norm ln USING (line_id) JOIN template_norm tn USING (k)),
+b AS (SELECT doc_id, line_id, max(score) AS score, arg_min(license, (-score, k)) AS license FROM s GROUP BY ALL),
+own AS (SELECT doc_id, max(score) AS own_score, arg_min(license, (-score, license)) AS own_license FROM b WHERE score >= {THRESHOLD} GROUP BY doc_id),
+f AS (SELECT files.*, own_license, own_score FROM files LEFT JOIN own USING (doc_id)),
+st AS (SELECT dir, own_license AS license, count(*) AS c FROM f WHERE own_license IS NOT NULL GROUP BY ALL),
+d AS (SELECT dir, arg_min(license, (-c, license)) AS license FROM st GROUP BY dir),
+i AS (SELECT f.doc_id, arg_max(d.dir, length(d.dir)) AS inherited_from, arg_max(d.license, length(d.dir)) AS license
+  FROM f JOIN d ON f.own_license IS NULL AND (f.dir = d.dir OR starts_with(f.dir, d.dir || '/') OR d.dir = '') GROUP BY f.doc_id)
+SELECT f.doc_id, f.path, f.own_license, f.own_score, coalesce(f.own_license, i.license) AS license, i.inherited_from
+FROM f LEFT JOIN i USING (doc_id)
+"""
+
+
+#: For the query's paths and statements by any document.
+ORACLE = _oracle()
