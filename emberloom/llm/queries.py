@@ -68,4 +68,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_simhash, op4_chat_format, op5_language_id, op6_suffix_dedup, op7_packing, op8_token_counts, op9_fingerprints, op10_html_text)}
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_licenses": licenses.ORACLE, "op4_chat_format": chat.ORACLE}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_licenses": licenses.ORACLE, "op4_chat_format": chat.ORACLE, "op6_suffix_dedup": suffix_dedup.ORACLE}

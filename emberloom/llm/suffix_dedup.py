@@ -524,3 +524,19 @@ def repeated_substrings(
 def digest(found: DataFrame) -> DataFrame:
     removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["hi"] - s["lo"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, i, md5(hex(b[i + 1:i + {LENGTH}])) AS w FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - {LENGTH - 1})) AS i FROM d)),
+f AS (SELECT w, min(doc_id) AS m FROM s GROUP BY w),
+g AS (SELECT s.doc_id, s.i FROM s JOIN f USING (w) WHERE f.m < s.doc_id),
+h AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH}, true) AS fresh FROM g),
+k AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h),
+r AS (SELECT doc_id, min(i) AS lo, max(i) + {LENGTH} AS hi FROM k GROUP BY doc_id, run),
+p AS (SELECT r.doc_id, r.lo, r.hi, hex(d.b[coalesce(lag(r.hi) OVER (PARTITION BY r.doc_id ORDER BY r.lo), 0) + 1:r.lo]) AS kept FROM r JOIN d USING (doc_id)),
+q AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(kept, '' ORDER BY lo) AS kept, max(hi) AS last FROM p GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(q.n_removed, 0) AS BIGINT) AS n_removed, coalesce(q.n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN q.doc_id IS NULL THEN hex(d.b) ELSE q.kept || hex(d.b[q.last + 1:octet_length(d.b)]) END)) AS kept_sha256
+FROM d LEFT JOIN q USING (doc_id)
+"""
