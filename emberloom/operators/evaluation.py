@@ -195,3 +195,57 @@ def bootstrap_auc(rows: DataFrame, case: str, replicates: int = 100, seed: int =
 def interval(replicated: DataFrame, column: str = "auc") -> DataFrame:
     q = F.percentile(column, F.array(F.lit(0.025), F.lit(0.975)))
     return replicated.agg(F.count("*").alias("replicates"), q[0].alias("low"), q[1].alias("high"))
+
+
+def matched_cuts(named: DataFrame, nameless: DataFrame, grades: int = 3) -> DataFrame:
+    """Cuts for nameless scores that give as many rows of each grade or higher as the named grades do.
+
+    named (grade), nameless (p, lifted: a rule already lifts the row to review).
+    For grades below the highest the k-th largest p among rows not lifted, k
+    less the lifted ones; for the highest the k-th largest of all; cut down to
+    four digits, null where k is below 1.
+    """
+    spark = named.sparkSession
+    wanted = spark.range(1, grades + 1).withColumnRenamed("id", "grade").join(
+        named.select(F.col("grade").alias("g")), F.col("g") >= F.col("grade"), "left"
+    ).groupBy("grade").agg(F.count("g").alias("k"))
+    counts = nameless.groupBy("p").agg(F.count_if(~F.col("lifted")).alias("free"), F.count("*").alias("all"))
+    above = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.select("p", F.sum("free").over(above).alias("free"), F.sum("all").over(above).alias("all"))
+    lifted = nameless.agg(F.count_if("lifted").alias("lifted"))
+    cells = wanted.crossJoin(F.broadcast(lifted)).withColumn("need", F.when(F.col("grade") == grades, F.col("k")).otherwise(F.col("k") - F.col("lifted")))
+    reached = F.when(F.col("grade") == grades, F.col("all")).otherwise(F.col("free")) >= F.col("need")
+    found = cells.join(placed, reached & (F.col("need") >= 1), "left").groupBy("grade").agg(F.max("p").alias("cut"))
+    return found.select("grade", (F.floor(F.col("cut") * 10000) / 10000).alias("cut"))
+
+
+def slice_report(rows: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """AUC of each grouping set of a long table, one aggregation per set; columns not in a set are null."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    out = None
+    for s in sets:
+        part = auc(rows, s).select(*[F.col(k) if k in s else F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys], "n", "pos", "neg", "auc")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def retrieval_metrics(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """ranked (keys, rank of the expected item or null, score, best_other): recalls, similarities and margins."""
+    margin = F.col("score") - F.col("best_other")
+    q = F.percentile("score", F.array(F.lit(0.1), F.lit(0.5)))
+    return ranked.groupBy(*(by or [])).agg(
+        F.count("*").alias("n"),
+        F.avg(F.when(F.col("rank") <= 1, 1.0).otherwise(0.0)).alias("recall_1"),
+        F.avg(F.when(F.col("rank") <= 5, 1.0).otherwise(0.0)).alias("recall_5"),
+        F.avg("score").alias("mean_score"),
+        q[1].alias("median_score"),
+        q[0].alias("p10_score"),
+        F.min("score").alias("min_score"),
+        F.avg(margin).alias("mean_margin"),
+        F.avg((margin > 0).cast("double")).alias("positive_margin"),
+    )
+
+
+def adopted(low: Column, baseline: Column, margin: float = -0.02) -> Column:
+    """A change is adopted if its interval's lower end is not below the baseline by more than the margin."""
+    return low - baseline >= margin

@@ -823,3 +823,84 @@ def search_flagship(spark, sf_dir):
     words = stats.select("token", (F.log10("n") + 2).alias("zipf"))
     found = search.candidates(q, m, stats, words, 5)
     return found.select("query_id", "id", "rank", "grade", "pattern", F.round("p", 6).alias("p"), "sources")
+
+
+@query(
+    _SCORED_SQL
+    + """, n AS (SELECT CASE WHEN score >= 0.75 THEN 3 WHEN score >= 0.5 THEN 2 WHEN score >= 0.25 THEN 1 ELSE 0 END AS g FROM s),
+x AS (SELECT round(1 - score / 2, 3) AS p, doc_id % 11 = 0 AS lifted FROM s), t(grade) AS (VALUES (1), (2), (3)),
+k AS (SELECT grade, (SELECT count(*) FROM n WHERE g >= grade) - CASE WHEN grade < 3 THEN (SELECT count(*) FROM x WHERE lifted) ELSE 0 END AS need FROM t),
+a AS (SELECT p, row_number() OVER (ORDER BY p DESC) AS place FROM x), fr AS (SELECT p, row_number() OVER (ORDER BY p DESC) AS place FROM x WHERE NOT lifted)
+SELECT CAST(k.grade AS BIGINT) AS grade, floor(coalesce(CASE WHEN k.grade = 3 THEN a.p ELSE fr.p END, NULL) * 10000) / 10000 AS cut FROM k LEFT JOIN a ON a.place = need LEFT JOIN fr ON fr.place = need"""
+)
+def matched_cuts(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    named = s.select(risk.grade_of(F.col("score"), [F.lit(0.25), F.lit(0.5), F.lit(0.75)]).alias("grade"))
+    return evaluation.matched_cuts(named, s.select(F.round(1 - F.col("score") / 2, 3).alias("p"), (F.col("doc_id") % 11 == 0).alias("lifted")))
+
+
+@query(
+    _SCORED_SQL
+    + """, u AS (SELECT lang, source, score, y FROM s UNION ALL SELECT lang, NULL, score, y FROM s UNION ALL SELECT NULL, NULL, score, y FROM s),
+v AS (SELECT lang, source, score, sum(y) AS pos, sum(1 - y) AS neg FROM u GROUP BY ALL),
+z AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY lang, source ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v)
+SELECT lang, source, CAST(sum(pos + neg) AS BIGINT) AS n, round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + 0.5 * neg)) / CAST(sum(pos) * sum(neg) AS DOUBLE) END, 6) AS auc FROM z GROUP BY lang, source"""
+)
+def slice_report(spark, sf_dir):
+    found = evaluation.slice_report(_scored(spark, sf_dir), [["lang", "source"], ["lang"], []])
+    return found.select("lang", "source", "n", F.round("auc", 6).alias("auc"))
+
+
+@query(
+    _TOPK_SQL
+    + """, e AS (SELECT t.*, a.label AS la, b.label AS lb FROM t JOIN embeddings a ON a.vec_id = t.query_id JOIN embeddings b ON b.vec_id = t.id WHERE t.id <> t.query_id),
+x AS (SELECT query_id, min(CASE WHEN la = lb THEN rank - 1 END) AS rank, max(CASE WHEN la = lb THEN score END) AS score, max(CASE WHEN la <> lb THEN score END) AS best_other FROM e GROUP BY query_id)
+SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(score), 6) AS mean_score,
+ round(quantile_cont(score, 0.5), 6) AS median_score, round(avg(score - best_other), 6) AS mean_margin FROM x"""
+)
+def retrieval_metrics(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    top = _topk(spark, sf_dir, e.count())
+    la, lb = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")), e.select(F.col("vec_id").alias("id"), F.col("label").alias("lb"))
+    rows = top.where("id <> query_id").join(la, "query_id").join(lb, "id")
+    same = F.col("la") == F.col("lb")
+    x = rows.groupBy("query_id").agg(F.min(F.when(same, F.col("rank") - 1)).alias("rank"), F.max(F.when(same, F.col("score"))).alias("score"), F.max(F.when(~same, F.col("score"))).alias("best_other"))
+    m = evaluation.retrieval_metrics(x)
+    return m.select("n", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mean_score", "median_score", "mean_margin")])
+
+
+@query("SELECT CAST(strftime(d, '%Y%m') AS VARCHAR) AS month FROM range(DATE '1992-01-01', DATE '1998-12-02', INTERVAL 1 MONTH) t(d)")
+def month_range(spark, sf_dir):
+    return spark.range(1).select(F.explode(F.expr("sequence(date'1992-01-01', date'1998-12-01', interval 1 month)")).alias("d")).select(F.date_format("d", "yyyyMM").alias("month"))
+
+
+@query(
+    """SELECT vec_id, CASE WHEN s < 0.45 THEN 'low' WHEN s < 0.55 THEN 'weak' WHEN s < 0.75 THEN 'possible' ELSE 'strong' END AS band FROM (
+ SELECT e.vec_id, round(CAST(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])) AS DOUBLE), 6) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) z)"""
+)
+def similarity_bands(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    zero = e.where("vec_id = 0").select(F.col("embedding").alias("z"))
+    return e.crossJoin(F.broadcast(zero)).select("vec_id", vectors.similarity_band(F.round(vectors.dot("embedding", "z"), 6)).alias("band"))
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT o_custkey AS k, o_orderstatus AS v FROM orders), b AS (SELECT k, list_sort(list(v)) AS vs FROM a GROUP BY k)
+SELECT vs AS pattern, count(*) AS n FROM b GROUP BY vs"""
+)
+def pattern_counts(spark, sf_dir):
+    own = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("pattern"))
+    return own.groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH r AS (SELECT o_custkey AS k, o_orderpriority AS tag, o_orderstatus AS hit, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT tag, sum(n) AS received, sum(CASE WHEN hit = 'F' THEN n ELSE 0 END) AS good FROM r GROUP BY tag)
+SELECT tag, CAST(received AS BIGINT) AS received, CAST(good AS BIGINT) AS good, round(good / CAST(received AS DOUBLE), 6) AS precision, round(good / CAST(sum(good) OVER () AS DOUBLE), 6) AS recall, good / CAST(received AS DOUBLE) >= 0.49 AS adopt, good < 30 AS shaky FROM t"""
+)
+def evidence_table(spark, sf_dir):
+    g = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("tag")).agg(F.count("*").alias("received"), F.count_if(F.col("o_orderstatus") == "F").alias("good"))
+    total = g.agg(F.sum("good").alias("total"))
+    share = F.col("good") / F.col("received")
+    return g.crossJoin(F.broadcast(total)).select(
+        "tag", "received", "good", F.round(share, 6).alias("precision"), F.round(F.col("good") / F.col("total"), 6).alias("recall"), (share >= 0.49).alias("adopt"), (F.col("good") < 30).alias("shaky")
+    )
