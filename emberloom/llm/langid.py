@@ -19,8 +19,11 @@ labelled row everything is ``und``. Every row is answered by itself.
 from __future__ import annotations
 
 import math
+import re
+import uuid
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +97,7 @@ SCRIPTS = [
     (0x20000, "Han"),
 ]
 _STARTS = [a for a, _ in SCRIPTS]
+_ASCII_RUNS = re.compile("[a-zA-Z]+")
 
 
 def script(letter: str) -> str:
@@ -102,8 +106,8 @@ def script(letter: str) -> str:
 
 def letter_runs(token: str) -> list[str]:
     """The runs of letters of a token, cut also where the script changes."""
-    if token.isalpha() and token.isascii():
-        return [token]
+    if token.isascii():
+        return [token] if token.isalpha() else _ASCII_RUNS.findall(token)
     out, now, of = [], [], ""
     for c in token:
         kind = script(c) if c.isalpha() else ""
@@ -137,29 +141,48 @@ class Model:
         vocabulary = len({g for c in grams.values() for g in c}) + 1
         totals = [sum(grams[x].values()) + vocabulary for x in self.languages]
         self.unseen = np.array([-math.log(t) for t in totals], np.float64)
-        self.grams: dict[str, np.ndarray] = {}
-        for g in {g for c in grams.values() for g in c}:
-            self.grams[g] = np.log([grams[x][g] + 1.0 for x in self.languages]) + self.unseen
-        self.users: dict[str, np.ndarray] = {}
-        for s in {s for c in scripts.values() for s in c}:
-            use = np.array([scripts[x][s] >= SCRIPT_SHARE * max(1, sum(scripts[x].values())) for x in self.languages])
-            if use.any():
-                self.users[s] = use
-
-    def word(self, token: str) -> tuple[np.ndarray, int, int]:
-        """Scores of a token under each language (at most 0), its letters, and those with a candidate."""
-        total, letters, known = np.zeros(len(self.languages)), 0, 0
-        for run in letter_runs(token):
-            letters += len(run)
-            users = self.users.get(script(run[0]))
-            if users is None:
-                continue
-            known += len(run)
-            padded = f" {run} "
-            for k in range(len(padded) - 2):
-                total += self.grams.get(padded[k : k + 3], self.unseen)
-            total = np.where(users, total, total - 1e6)
-        total -= total.max(initial=-np.inf) if len(total) else 0
+        # row 0 is an unseen trigram
+        rows = [np.array(self.unseen)]
+        self.grams: dict[str, int] = {}
+        for g in sorted({g for c in grams.values() for g in c}):
+            self.grams[g] = len(rows)
+            rows.append(np.log([grams[x][g] + 1.0 for x in self.languages]) + self.unseen)
+        self.table = np.array(rows).reshape(len(rows), len(self.languages))
+        self.users: dict[str, int] = {}
+        uses = []
+        for s in sorted({s for c in scripts.values() for s in c}):
+            use = [scripts[x][s] >= SCRIPT_SHARE * max(1, sum(scripts[x].values())) for x in self.languages]
+            if any(use):
+                self.users[s] = len(uses)
+                uses.append(use)
+        self.uses = np.array(uses, bool).reshape(len(uses), len(self.languages))
+        self.token = uuid.uuid4().hex
+
+    def words(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of tokens under each language (at most 0), their letters, and those with a candidate."""
+        n, get = len(tokens), self.grams.get
+        total, letters, known = np.zeros((n, len(self.languages))), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        found: list[int] = []
+        sizes, owner, user = [], [], []
+        for k, token in enumerate(tokens):
+            for run in letter_runs(token):
+                letters[k] += len(run)
+                of = self.users.get(script(run[0]))
+                if of is None:
+                    continue
+                known[k] += len(run)
+                padded = f" {run} "
+                found += [get(padded[i : i + 3], 0) for i in range(len(run))]
+                sizes.append(len(run))
+                owner.append(k)
+                user.append(of)
+        if sizes:
+            begin = np.cumsum(sizes) - sizes
+            runs = np.add.reduceat(self.table[np.array(found)], begin, axis=0)
+            runs[~self.uses[np.array(user)]] -= 1e6
+            np.add.at(total, np.array(owner), runs)
+        if len(self.languages):
+            total -= total.max(axis=1, keepdims=True)
         return np.maximum(total, -WORD_NATS), letters, known
 
 
@@ -206,27 +229,30 @@ class Labeller:
 
     def reset(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.scores: list[np.ndarray] = []
-        self.letters: list[int] = []
-        self.known: list[int] = []
+        self.scores = np.zeros((0, len(self.model.languages)))
+        self.letters = np.zeros(0, np.int64)
+        self.known = np.zeros(0, np.int64)
+
+    def learn(self, fresh: list[str]) -> None:
+        parts = [self.model.words(fresh[lo : lo + 20_000]) for lo in range(0, len(fresh), 20_000)]
+        self.numbers.update(zip(fresh, range(len(self.numbers), len(self.numbers) + len(fresh)), strict=True))
+        self.scores, self.letters, self.known = (
+            np.concatenate([old, *(p[k] for p in parts)]) for k, old in enumerate((self.scores, self.letters, self.known))
+        )
 
     def label(self, texts: list[str]):
         """Yield (language, score, [(language, first word, end word)]) for each text."""
         if len(self.numbers) > KEPT:
             self.reset()
         own = [t.lower().split() for t in texts]
-        for word in {w for ws in own for w in ws}.difference(self.numbers):
-            s, n, k = self.model.word(word)
-            self.numbers[word] = len(self.scores)
-            self.scores.append(s)
-            self.letters.append(n)
-            self.known.append(k)
+        fresh = set().union(*own).difference(self.numbers)
+        if fresh:
+            self.learn(list(fresh))
         lengths = np.fromiter(map(len, own), np.int64, len(own))
-        ids = np.fromiter((self.numbers[w] for ws in own for w in ws), np.int64, int(lengths.sum()))
+        ids = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(own)), np.int64, int(lengths.sum()))
         names = self.model.languages
-        table = np.array(self.scores).reshape(len(self.scores), len(names))
-        labels = viterbi(table[ids], lengths) if names else np.zeros(len(ids), int)
-        letters, known = np.array(self.letters, np.int64)[ids], np.array(self.known, np.int64)[ids]
+        labels = viterbi(self.scores[ids], lengths) if names else np.zeros(len(ids), int)
+        letters, known = self.letters[ids], self.known[ids]
         at = 0
         for n in lengths.tolist():
             part, mine, counted = labels[at : at + n], letters[at : at + n], known[at : at + n]
@@ -259,6 +285,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(sorted((r[0], r[1]) for r in sample))
 
 
+_LABELLERS: dict[str, Labeller] = {}
+
+
+def labeller_of(model: Model) -> Labeller:
+    """A worker's labeller of a model, kept from task to task."""
+    if model.token not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[model.token] = Labeller(model)
+    return _LABELLERS[model.token]
+
+
 _SPAN = pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 
 
@@ -267,7 +304,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        labeller = Labeller(shared.value)
+        labeller = labeller_of(shared.value)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             lo, size = 0, 0
@@ -296,7 +333,7 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        labeller = Labeller(shared.value)
+        labeller = labeller_of(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             keep: list[bool] = []
