@@ -105,7 +105,7 @@ def _blob(*parts: bytes) -> bytes:
     import zstandard
 
     head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
 
 
 def _parts(blob: bytes) -> list[bytes]:
@@ -121,8 +121,8 @@ def _parts(blob: bytes) -> list[bytes]:
     return out
 
 
-def front_code(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """(common prefix with the key before, length of the rest) and the rests, of sorted distinct keys."""
+def front_code(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(common prefix with the key before, length of the rest) of sorted distinct keys."""
     sizes = np.fromiter(map(len, keys), np.int64, len(keys))
     shared = np.zeros(len(keys), np.int64)
     for lo in range(1, len(keys), 50_000):
@@ -132,7 +132,12 @@ def front_code(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
         table = np.frombuffer(b"".join(k.ljust(width, b"\0") for k in part), np.uint8).reshape(len(part), width)
         differ = np.concatenate([table[1:] != table[:-1], np.ones((len(part) - 1, 1), bool)], axis=1).argmax(axis=1)
         shared[lo : lo + len(part) - 1] = np.minimum(differ, np.minimum(n[1:], n[:-1]))
-    return shared.astype(np.uint8), (sizes - shared).astype(np.uint8), b"".join(k[c:] for k, c in zip(keys, shared.tolist(), strict=True))
+    return shared.astype(np.uint8), (sizes - shared).astype(np.uint8)
+
+
+def rests(keys: list[bytes], shared: np.ndarray) -> bytes:
+    """What front coding leaves of the keys."""
+    return b"".join([k[c:] for k, c in zip(keys, shared.tolist(), strict=True)])
 
 
 def front_decode(shared: bytes, rest: bytes, tails: bytes) -> list[bytes]:
@@ -194,6 +199,7 @@ def merge(runs: list[tuple[list[bytes], bytes]]):
             up.append(w)
         level, nodes = up, nodes // 2
     w = level[0]
+    number = int.from_bytes
     while known[w] >= 0:
         at = place[w]
         yield w, at, known[w]
@@ -214,10 +220,18 @@ def merge(runs: list[tuple[list[bytes], bytes]]):
                 w = other
             elif a == b and a >= 0:
                 x, y = now[w], now[other]
-                if x <= y:
-                    known[other] = _common(x, y, a)
+                # the next eight bytes settle nearly all
+                p, q = x[a : a + 8], y[a : a + 8]
+                if len(p) == 8 == len(q) and p != q:
+                    c = a + 8 - ((number(p) ^ number(q)).bit_length() + 7) // 8
+                    less = p < q
+                else:
+                    c = _common(x, y, a)
+                    less = x <= y
+                if less:
+                    known[other] = c
                 else:
-                    known[w] = _common(x, y, a)
+                    known[w] = c
                     losers[node] = w
                     w = other
             node >>= 1
@@ -233,30 +247,32 @@ class _Removals:
         self.rows[doc] += (lo, hi)
 
 
-def _group(members: list, removed: _Removals, length: int) -> None:
-    """Members (key, best common prefix with a neighbour, places) share a gram; places are (id, sub, anchor), ids ascending."""
-    if len(members) == 1:
-        _, _, places = members[0]
-        least = places[0][0]
-        if places[-1][0] > least:
-            key = members[0][0]
-            right = key[-1]
-            left = len(key) - 1 - right
-            for doc, sub, at in places:
-                if doc > least:
-                    removed.add((doc, sub), at - left, at + right)
-        return
+def _copies(key: bytes, places: list, removed: _Removals) -> None:
+    """A record's copies in documents after its first go whole."""
+    least, right = places[0][0], key[-1]
+    if places[-1][0] > least:
+        left = len(key) - 1 - right
+        for doc, sub, at in places:
+            if doc > least:
+                removed.add((doc, sub), at - left, at + right)
+
+
+def _group(members: list, places_of, removed: _Removals, length: int) -> None:
+    """Members (key, best common prefix with a neighbour, where it stands) share a gram.
+
+    places_of gives (id, sub, anchor) of what stands somewhere, ids ascending.
+    """
     first: dict[bytes, int] = {}
     opened = []
-    for key, near, places in members:
+    for key, near, own in members:
         right = key[-1]
         left = len(key) - 1 - right
         if left + min(near, right) < length:  # no window in common with another record: only with its own copies
-            least = places[0][0]
-            for doc, sub, at in places:
-                if doc > least:
-                    removed.add((doc, sub), at - left, at + right)
+            places = places_of(own, 2)
+            if places:
+                _copies(key, places, removed)
             continue
+        places = places_of(own, 1)
         whole = key[right:-1][::-1] + key[:right]
         windows = [whole[o : o + length] for o in range(len(whole) - length + 1)]
         least = places[0][0]
@@ -285,42 +301,57 @@ def _group(members: list, removed: _Removals, length: int) -> None:
 
 def merge_range(blobs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> _Removals:
     """Merge one range's runs and find what repeats."""
-    runs, places = [], []
+    runs, begins, tables = [], [], []
     for blob in blobs:
         shared, rest, tails, counts, ids, subs, at = _parts(blob)
         runs.append((front_decode(shared, rest, tails), shared))
-        begin = [0, *np.cumsum(_unpack(counts, "<u4")).tolist()]
-        places.append((begin, _unpack(ids, "<i8").tolist(), _unpack(subs, "<i8").tolist(), _unpack(at, "<u4").tolist()))
+        begins.append([0, *np.cumsum(_unpack(counts, "<u4")).tolist()])
+        tables.append((_unpack(ids, "<i8").tolist(), _unpack(subs, "<i8").tolist(), _unpack(at, "<u4").tolist()))
+    strings = [r for r, _ in runs]
+
+    def places_of(own: list[tuple[int, int]], least: int) -> list:
+        """The places of a record's runs, none if there are fewer than least."""
+        if len(own) == 1 and least > 1:
+            run, at = own[0]
+            if begins[run][at + 1] - begins[run][at] < least:
+                return []
+        out = []
+        for run, at in own:
+            ids, subs, pos = tables[run]
+            a, b = begins[run][at], begins[run][at + 1]
+            out += zip(ids[a:b], subs[a:b], pos[a:b], strict=True)
+        if len(own) > 1:
+            out.sort()
+        return out
+
     removed = _Removals()
     members: list = []
-    key, own, near = None, [], 0
+    key, own, near = b"", [], 0
 
-    def close():
-        if key is not None:
-            if len(own) > 1:
-                own.sort()
-            members.append((key, near, own))
+    def close() -> None:
+        members.append((key, near, own))
+        if len(members) > 1:
+            _group(members, places_of, removed, length)
+            return
+        places = places_of(own, 2)
+        if places:
+            _copies(key, places, removed)
 
     for run, at, common in merge(runs):
-        begin, ids, subs, pos = places[run]
-        found = [(ids[i], subs[i], pos[i]) for i in range(begin[at], begin[at + 1])]
-        string = runs[run][0][at]
-        if key is not None and common == len(string) == len(key):
-            own += found
-            continue
-        # no key has more in common with this one than its neighbours in sorted order
-        both = common if key is not None else 0
-        near = max(near, both)
-        close()
+        string = strings[run][at]
         if common < gram:
-            if members:
-                _group(members, removed, length)
-            members = []
-            both = 0
-        key, own, near = string, found, both
-    close()
-    if members:
-        _group(members, removed, length)
+            if own:
+                close()
+                members = []
+            key, own, near = string, [(run, at)], 0
+        elif common == len(string) == len(key):
+            own.append((run, at))
+        else:
+            # no key has more in common with this one than its neighbours in sorted order
+            members.append((key, max(near, common), own))
+            key, own, near = string, [(run, at)], common
+    if own:
+        close()
     return removed
 
 
@@ -347,7 +378,7 @@ def _runs(batches, splitters: np.ndarray, length: int):
         distinct = [ordered[i] for i in first.tolist()]
         heads = np.frombuffer(b"".join(k[:8] for k in distinct), ">u8").astype(np.uint64)
         part = np.searchsorted(splitters, heads, side="right")
-        shared, rest, _ = front_code(distinct)
+        shared, rest = front_code(distinct)
         number, sub, begin = number[order].astype("<i8"), np.array(subs, np.int64)[doc][order].astype("<i8"), begin[order].astype("<u4")
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
         offset = [0, *np.cumsum(counts).tolist()]
@@ -356,7 +387,7 @@ def _runs(batches, splitters: np.ndarray, length: int):
             c = shared[a:b].copy()
             r = rest[a:b].copy()
             c[0], r[0] = 0, len(distinct[a])
-            tails = b"".join(k[n:] for k, n in zip(distinct[a:b], c.tolist(), strict=True))
+            tails = rests(distinct[a:b], c)
             i, j = offset[a], offset[b]
             numbers.append(int(part[a]))
             blobs.append(_blob(c.tobytes(), r.tobytes(), tails, _pack(counts[a:b]), _pack(number[i:j]), _pack(sub[i:j]), _pack(begin[i:j])))

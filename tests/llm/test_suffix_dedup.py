@@ -79,8 +79,8 @@ def test_loser_tree_merges_with_right_common_prefixes():
         runs = []
         for _ in range(n):
             keys = sorted({bytes(rng.choices(b"ab\0", k=rng.randint(1, 12))) for _ in range(rng.randint(0, 40))})
-            shared, rest, tails = sd.front_code(keys)
-            assert sd.front_decode(shared.tobytes(), rest.tobytes(), tails) == keys
+            shared, rest = sd.front_code(keys)
+            assert sd.front_decode(shared.tobytes(), rest.tobytes(), sd.rests(keys, shared)) == keys
             runs.append((keys, shared.tobytes()))
         got = [(runs[r][0][i], c) for r, i, c in sd.merge(runs)] if runs else []
         want = sorted(k for keys, _ in runs for k in keys)
