@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -53,8 +54,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_to_batches(schema, rows: dict[str, list]):
-    """One Arrow batch from column lists, or none for no rows."""
-    import pyarrow as pa
-
-    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in schema], schema=schema)
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find shuffle files that nothing refers to any more, before others are written."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 50
 #: Bytes of the gram whose hash makes a window's anchor.
-GRAM = 12
+GRAM = 16
 #: Bytes of text in one sorted run, about.
 RUN_BYTES = 10_000_000
 #: Bytes of text for each range of prefixes, about.
@@ -105,7 +105,7 @@ def _blob(*parts: bytes) -> bytes:
     import zstandard
 
     head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
 def _parts(blob: bytes) -> list[bytes]:
@@ -258,21 +258,20 @@ def _copies(key: bytes, places: list, removed: _Removals) -> None:
 
 
 def _group(members: list, places_of, removed: _Removals, length: int) -> None:
-    """Members (key, best common prefix with a neighbour, where it stands) share a gram.
+    """Members (key, where it stands) share a gram and can share windows.
 
     places_of gives (id, sub, anchor) of what stands somewhere, ids ascending.
     """
+    if len(members) == 1:
+        key, own = members[0]
+        _copies(key, places_of(own), removed)
+        return
     first: dict[bytes, int] = {}
     opened = []
-    for key, near, own in members:
+    for key, own in members:
         right = key[-1]
         left = len(key) - 1 - right
-        if left + min(near, right) < length:  # no window in common with another record: only with its own copies
-            places = places_of(own, 2)
-            if places:
-                _copies(key, places, removed)
-            continue
-        places = places_of(own, 1)
+        places = places_of(own)
         whole = key[right:-1][::-1] + key[:right]
         windows = [whole[o : o + length] for o in range(len(whole) - length + 1)]
         least = places[0][0]
@@ -301,25 +300,26 @@ def _group(members: list, places_of, removed: _Removals, length: int) -> None:
 
 def merge_range(blobs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> _Removals:
     """Merge one range's runs and find what repeats."""
-    runs, begins, tables = [], [], []
+    runs, begins, tables, many = [], [], [], []
     for blob in blobs:
         shared, rest, tails, counts, ids, subs, at = _parts(blob)
+        counts = _unpack(counts, "<u4")
         runs.append((front_decode(shared, rest, tails), shared))
-        begins.append([0, *np.cumsum(_unpack(counts, "<u4")).tolist()])
-        tables.append((_unpack(ids, "<i8").tolist(), _unpack(subs, "<i8").tolist(), _unpack(at, "<u4").tolist()))
+        begins.append(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.uint32))
+        tables.append((_unpack(ids, "<i8"), _unpack(subs, "<i8"), _unpack(at, "<u4")))
+        many.append((counts > 1).tobytes())
     strings = [r for r, _ in runs]
 
-    def places_of(own: list[tuple[int, int]], least: int) -> list:
-        """The places of a record's runs, none if there are fewer than least."""
-        if len(own) == 1 and least > 1:
-            run, at = own[0]
-            if begins[run][at + 1] - begins[run][at] < least:
-                return []
+    def places_of(own: list[tuple[int, int]]) -> list:
+        """The places of a record's runs, ids ascending."""
         out = []
         for run, at in own:
             ids, subs, pos = tables[run]
-            a, b = begins[run][at], begins[run][at + 1]
-            out += zip(ids[a:b], subs[a:b], pos[a:b], strict=True)
+            a, b = begins[run].item(at), begins[run].item(at + 1)
+            if b - a == 1:
+                out.append((ids.item(a), subs.item(a), pos.item(a)))
+            else:
+                out += zip(ids[a:b].tolist(), subs[a:b].tolist(), pos[a:b].tolist(), strict=True)
         if len(own) > 1:
             out.sort()
         return out
@@ -328,30 +328,34 @@ def merge_range(blobs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> _
     members: list = []
     key, own, near = b"", [], 0
 
-    def close() -> None:
-        members.append((key, near, own))
-        if len(members) > 1:
-            _group(members, places_of, removed, length)
-            return
-        places = places_of(own, 2)
-        if places:
-            _copies(key, places, removed)
+    def settle() -> None:
+        """No key has more in common with this one than its neighbours in sorted order:
+        it joins its group's members only if that leaves room for a window, else only its copies count."""
+        if near >= gram:
+            right = key[-1]
+            if len(key) - 1 - right + min(near, right) >= length:
+                members.append((key, own))
+                return
+        if len(own) > 1 or many[own[0][0]][own[0][1]]:
+            _copies(key, places_of(own), removed)
 
     for run, at, common in merge(runs):
         string = strings[run][at]
-        if common < gram:
-            if own:
-                close()
-                members = []
-            key, own, near = string, [(run, at)], 0
-        elif common == len(string) == len(key):
+        if common == len(string) == len(key):
             own.append((run, at))
-        else:
-            # no key has more in common with this one than its neighbours in sorted order
-            members.append((key, max(near, common), own))
-            key, own, near = string, [(run, at)], common
+            continue
+        if common > near:
+            near = common
+        if own and (near >= gram or len(own) > 1 or many[own[0][0]][own[0][1]]):
+            settle()
+        if common < gram and members:
+            _group(members, places_of, removed, length)
+            members = []
+        key, own, near = string, [(run, at)], common
     if own:
-        close()
+        settle()
+    if members:
+        _group(members, places_of, removed, length)
     return removed
 
 
@@ -369,8 +373,11 @@ def _runs(batches, splitters: np.ndarray, length: int):
         keys = [data[a:e] + data[s:a][::-1] + bytes((e - a,)) for s, e, a in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)]
         number = np.array(ids, np.int64)[doc]
         # by key, then id: places of a record come in the order of ids
-        by_id = np.argsort(number, kind="stable")
-        order = by_id[np.array(sorted(range(len(keys)), key=[keys[i] for i in by_id.tolist()].__getitem__), np.int64)]
+        if (number[1:] < number[:-1]).any():
+            by_id = np.argsort(number, kind="stable")
+            order = by_id[np.array(sorted(range(len(keys)), key=[keys[i] for i in by_id.tolist()].__getitem__), np.int64)]
+        else:
+            order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
         ordered = [keys[i] for i in order.tolist()]
         fresh = np.fromiter((a != b for a, b in zip(ordered, [None, *ordered])), bool, len(ordered))
         first = np.flatnonzero(fresh)
@@ -500,6 +507,9 @@ def repeated_substrings(
 
     removals = materialise(runs.repartition(ranges, "range").mapInArrow(combine, "bucket int, blob binary"), "removals")
 
+    del runs
+    release(spark)
+
     def buckets(batches):
         for batch in batches:
             own = [hash(LAST_ID if i is None else i) % n_docs_parts for i in batch.column(0).to_pylist()]
