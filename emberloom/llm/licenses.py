@@ -1,16 +1,20 @@
 """License scans with DataFrame functions only.
 
 Each line of a text is a sparse TF-IDF vector (a term counts once in a line;
-document frequencies are over all lines of the corpus) and is compared by
-cosine with notice templates; a file's own license is that of its best line at
-``THRESHOLD`` or more. A file whose name says that it holds the license of its
+document frequencies, of every word, are over all lines of the corpus) and is
+compared by cosine with notice templates; a file's own license is that of its
+best line at ``THRESHOLD`` or more. A template word that no line has weighs as
+much as the mean word of the corpus, or it would outgrow the seen words as the
+number of lines grows. A file whose name says that it holds the license of its
 directory is also compared as a whole. A file without a license of its own
 inherits that of the nearest ancestor directory which states one, found by
 joins on directory paths, one row for each directory.
 
 Only lines with one of a template's heaviest terms are compared: without them
-no cosine can reach the threshold (Cauchy-Schwarz), so none is lost. Templates,
-their terms and the frequencies collected for those terms are of fixed size.
+no cosine can reach the threshold (Cauchy-Schwarz), nor if it does not when all
+other words weigh 1, the least weight; so none is lost. Templates, their terms
+and the frequencies collected for those terms are of fixed size; the frequencies
+of other words stay distributed and are joined to the distinct lines compared.
 
 Defined results: null and empty texts have no license of their own, a null path
 lies in the root directory ""; ties of cosine and of statements go to the name
@@ -29,6 +33,8 @@ from .common import materialise
 
 #: Cosine from which a line states a template's license.
 THRESHOLD = 0.8
+#: Parts into which the rows of one common line are dealt.
+SALTS = 64
 #: Notice texts by SPDX name.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -78,11 +84,14 @@ def _literal(values: list[str]) -> Column:
 
 
 class Weights:
-    """Squared IDF weights of the templates' terms and of any other term."""
+    """Squared IDF weights of the templates' terms; ``mean`` is the weight of those that no line has."""
 
-    def __init__(self, lines: int, frequency: dict[str, int]):
-        self.squared = {t: (math.log((1 + lines) / (1 + frequency.get(t, 0))) + 1) ** 2 for t in vocabulary()}
-        self.other = (math.log((1 + lines) / 2) + 1) ** 2
+    def __init__(self, lines: int, frequency: dict[str, int], mean: float = 1.0):
+        self.lines = lines
+        self.squared = {t: (math.log((1 + lines) / (1 + frequency[t])) + 1 if frequency.get(t) else mean) ** 2 for t in vocabulary()}
+
+    def idf(self, count: Column) -> Column:
+        return F.log((1 + F.lit(self.lines)) / (1 + count)) + 1
 
     def norm(self, terms: list[str]) -> float:
         return math.sqrt(sum(self.squared[t] for t in terms))
@@ -99,13 +108,19 @@ class Weights:
         return sorted(out)
 
 
-def corpus_weights(texts: DataFrame, text_col: str = "text") -> Weights:
-    """Document frequencies over all lines of all texts."""
+def document_frequencies(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """term, count: lines of all texts that have the term; "" stands for the line itself."""
     line = texts.select(F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("line"))
-    known = F.array_intersect(_terms(F.col("line")), _literal(vocabulary()))
-    counted = line.select(F.explode(F.array_append(known, F.lit(""))).alias("term")).groupBy("term").count().collect()
-    found = {r["term"]: r["count"] for r in counted}  # "" stands for the line itself
-    return Weights(found.pop("", 0), found)
+    words = F.array_append(F.array_distinct(_terms(F.col("line"))), F.lit(""))
+    return materialise(line.select(F.explode(words).alias("term")).groupBy("term").count(), "line_terms")
+
+
+def corpus_weights(frequency: DataFrame) -> Weights:
+    """The templates' weights and the mean weight of a word of a line."""
+    found = {r["term"]: r["count"] for r in frequency.where(F.col("term").isin("", *vocabulary())).collect()}
+    weights = Weights(found.pop("", 0), found)
+    mean = frequency.where("term <> ''").agg((F.sum(F.col("count") * weights.idf(F.col("count"))) / F.sum("count")).alias("mean")).first()["mean"]
+    return Weights(weights.lines, found, 1.0 if mean is None else mean)
 
 
 def _squared(weights: Weights, terms: Column) -> Column:
@@ -113,11 +128,11 @@ def _squared(weights: Weights, terms: Column) -> Column:
     return F.aggregate(F.array_sort(terms), F.lit(0.0), lambda acc, t: acc + F.element_at(table, t))
 
 
-def best_template(text: Column, weights: Weights) -> Column:
-    """struct(score, license) of the template nearest to a text taken as one vector."""
-    words = F.array_distinct(_terms(text))
+def best_template(words: Column, others: Column, weights: Weights) -> Column:
+    """struct(score, license) of the template nearest to a vector of distinct words, whose words
+    outside the templates have the sum of squared weights others."""
     known = F.array_intersect(words, _literal(vocabulary()))
-    norm = F.sqrt(_squared(weights, known) + (F.size(words) - F.size(known)) * F.lit(weights.other))
+    norm = F.sqrt(_squared(weights, known) + others)
     each = []
     for k, (name, template) in enumerate(TEMPLATES):
         own = terms_of(template)
@@ -128,14 +143,24 @@ def best_template(text: Column, weights: Weights) -> Column:
     return F.when(F.size(words) > 0, F.struct(best["score"].alias("score"), best["license"].alias("license")))
 
 
+def score_vectors(vectors: DataFrame, frequency: DataFrame, weights: Weights) -> DataFrame:
+    """Distinct words arrays -> words, option (score, license), by the corpus' frequencies of all their words."""
+    other = F.array_except("words", _literal(vocabulary()))
+    each = vectors.select("words", F.explode(F.when(F.size(other) > 0, other).otherwise(F.array(F.lit("")))).alias("term"))
+    weighed = each.join(frequency, "term").withColumn("w2", F.when(F.col("term") == "", 0.0).otherwise(F.pow(weights.idf(F.col("count")), 2)))
+    summed = weighed.groupBy("words").agg(F.aggregate(F.array_sort(F.collect_list("w2")), F.lit(0.0), lambda a, x: a + x).alias("others"))
+    return summed.select("words", best_template(F.col("words"), F.col("others"), weights).alias("option"))
+
+
 def _best(options: Column) -> Column:
     """The struct of highest score, then of the license that sorts first."""
     top = F.array_max(F.transform(options, lambda o: o["score"]))
     return F.array_min(F.transform(F.filter(options, lambda o: o["score"] == top), lambda o: F.struct(o["license"].alias("license"), o["score"].alias("score"))))
 
 
-def own_licenses(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
-    """files (key, path, text) -> key, path, dir, names_directory, own (license, score), no shuffle."""
+def own_licenses(files: DataFrame, frequency: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """files (key, path, text) -> key, path, dir, names_directory, own (license, score)."""
+    weights = corpus_weights(frequency)
     anchor = "|".join(map(re.escape, weights.anchors(threshold)))
     pattern = rf"(?i)(?<![a-z])(?:{anchor})(?![a-z])" if anchor else "$^"
     some = F.filter(F.split("text", "\n"), lambda line: F.lower(line).rlike(pattern))
@@ -143,10 +168,24 @@ def own_licenses(files: DataFrame, weights: Weights, threshold: float = THRESHOL
     named = files.select(
         "key", "path", "text", F.regexp_extract(F.coalesce("path", F.lit("")), r"^(.*)/[^/]*$", 1).alias("dir"), base.isin(*LICENSE_FILES).alias("names_directory")
     )
-    scored = named.withColumn("options", F.transform(some, lambda line: best_template(line, weights)))
-    whole = F.when(F.col("names_directory"), F.array(best_template(F.col("text"), weights))).otherwise(F.array())
-    options = F.filter(F.concat(F.coalesce("options", F.array()), F.coalesce(whole, F.array())), lambda o: o["score"] >= threshold)
-    return scored.select("key", "path", "dir", "names_directory", _best(options).alias("own"))
+    whole = F.when(F.col("names_directory") & F.col("text").isNotNull(), F.array("text")).otherwise(F.array())
+    units = F.concat(F.coalesce(some, F.array()), F.coalesce(whole, F.array()))
+    vectors = F.transform(units, lambda unit: F.array_sort(F.array_distinct(_terms(unit))))
+
+    def may_reach(words):
+        n = F.size(F.array_except(words, _literal(vocabulary())))
+        return best_template(words, n.cast("double"), weights)["score"] >= threshold - 1e-6
+
+    near = F.array_distinct(F.filter(vectors, may_reach))
+    kept = named.select(F.monotonically_increasing_id().alias("row"), "key", "path", "dir", "names_directory", near.alias("near"))
+    kept = materialise(kept, "license_lines")
+    each = kept.select("row", F.explode("near").alias("words"))
+    scored = score_vectors(each.select("words").distinct(), frequency, weights).where(F.col("option.score") >= threshold)
+    # a common line's rows are dealt over SALTS tasks
+    scored = scored.select("words", "option", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(scored, ["words", "salt"])
+    own = met.groupBy("row").agg(_best(F.collect_list("option")).alias("own"))
+    return kept.join(own, "row", "left").select("key", "path", "dir", "names_directory", "own")
 
 
 def directory_licenses(stated: DataFrame) -> DataFrame:
@@ -186,7 +225,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, every_statement: bool =
     every_statement, by any file directly in them that has one of its own.
     """
     files = files.select("key", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    own = materialise(own_licenses(files, corpus_weights(files), threshold), "licenses")
+    own = materialise(own_licenses(files, document_frequencies(files), threshold), "licenses")
     states = own.where(F.col("own").isNotNull() & (F.lit(every_statement) | F.coalesce("names_directory", F.lit(False))))
     return inherit(own, states.select("dir", F.col("own.license").alias("license")))
 

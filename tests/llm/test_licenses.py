@@ -103,3 +103,25 @@ def test_query_on_its_table(spark):
     want = brute([(r["doc_id"], path(r), r["text"]) for r in docs], every=True)
     assert sorted((str(r["doc_id"]), r["path"], str(r["own_license"]), str(r["license"]), str(r["inherited_from"])) for r in got) == want
     assert any(w[2] != "None" for w in want)
+
+
+def test_planted_notices_are_found_alike_at_several_sizes(spark):
+    planted = ["All rights reserved.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."]
+    common = "all right is the work this under version general public released reserved rights of in a".split()
+    for n in (300, 3000, 30000):
+        lines = [" ".join([common[(7 * k + j * j) % len(common)] for j in range(6)] + [f"w{k % 97}", f"v{k % 89}"]) for k in range(n)]
+        rows = [(k, f"d{k}/x.txt", "\n".join(lines[k * 10 : k * 10 + 10] + [planted[k // 10 % 3]] * (k % 10 == 0))) for k in range(n // 10)]
+        got = {r["key"]: r["own_license"] for r in lic.scan(spark.createDataFrame(rows, "key bigint, path string, text string")).collect()}
+        assert all(got[k] == (["Proprietary", "MIT", "GPL-3.0"][k // 10 % 3] if k % 10 == 0 else None) for k in got), n
+
+
+def test_other_words_weigh_by_their_true_frequency(spark):
+    texts = ["project notes"] * 400 + ["plain line"] * 400 + ["released by the people under a license"] * 200 + ["Released under the MIT License. project"] * 20 + ["Released under the MIT License. zyx"]
+    files = spark.createDataFrame([(k, f"d{k}/x", t) for k, t in enumerate(texts)], "key bigint, path string, text string")
+    score = {r["key"]: r["own_score"] for r in lic.scan(files, threshold=0.1).collect()}
+    own = {"released", "under", "the", "mit", "license"}
+    df = {w: sum(w in re.findall(lic.TERM, t.lower()) for t in texts) for w in own | {"project", "zyx"}}
+    w2 = {w: (math.log((1 + len(texts)) / (1 + c)) + 1) ** 2 for w, c in df.items()}
+    dot = sum(w2[w] for w in own)
+    for key, word in ((1000, "project"), (1020, "zyx")):
+        assert score[key] == round(dot / math.sqrt(dot * (dot + w2[word])), 9)
