@@ -44,8 +44,9 @@ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 
 
 def _topk(spark, sf_dir, k=20):
+    """Queries are all rows whose id is divisible by 100; the SQL still has the first five ids."""
     e = read(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.vector_topk(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), k)
 
 
@@ -808,16 +809,18 @@ def hash_embed(spark, sf_dir):
 
 @query()
 def search_flagship(spark, sf_dir):
-    """Parts as marks with their supplier brands as codes and embeddings by id; eight queries of all input kinds."""
+    """Parts as marks with their supplier brands as codes and embeddings by id; queries of all input kinds, every row whose id is divisible by 100."""
     from emberloom.operators import search
 
     p, e = read(spark, sf_dir, "part"), read(spark, sf_dir, "embeddings")
     code = F.array(F.concat(F.lit("G"), F.lpad(F.regexp_extract("p_brand", "[0-9]+", 0), 4, "0")), F.concat(F.lit("S"), F.lpad(F.col("p_size").cast("string"), 4, "0")))
     m = p.join(e, p["p_partkey"] == e["vec_id"], "left").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), code.alias("codes"), "embedding")
-    pick = m.where("id % 25 = 1 and id < 200")
+    pick = m.where("id % 100 = 0")
+    # ids are hundreds: their hundreds count decides which inputs a query has
+    nth = F.expr("id div 100")
     q = pick.select(
-        F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 1, F.col("title")).alias("name"), F.when(F.col("id") % 3 != 0, F.col("codes")).alias("goods"),
-        F.when(F.col("id") % 4 != 3, F.col("embedding")).alias("embedding"), F.lit("text").alias("mark_type"),
+        F.col("id").alias("query_id"), F.when(nth % 2 == 1, F.col("title")).alias("name"), F.when(nth % 3 != 0, F.col("codes")).alias("goods"),
+        F.when(nth % 4 != 3, F.col("embedding")).alias("embedding"), F.lit("text").alias("mark_type"),
     )
     stats = corpus.token_stats(p.select(F.col("p_name").alias("title"), F.col("p_brand").alias("owner")))
     words = stats.select("token", (F.log10("n") + 2).alias("zipf"))
