@@ -23,3 +23,15 @@ def test_searches_take_every_hundredth_row_as_query(spark):
     assert catalogue.retrieval_metrics(spark, SF).first()["n"] == len(asked)
     parts = [r["p_partkey"] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()]
     assert {r["query_id"] for r in catalogue.search_flagship(spark, SF).collect()} == {p for p in parts if p % 100 == 0}
+
+
+def test_goods_pairs_cover_all_suppliers(spark):
+    sf = "/root/testdata/sf0.01"
+    l, p = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "part"))
+    sets = {}
+    for r in l.join(p, l["l_partkey"] == p["p_partkey"]).select("l_suppkey", "p_brand").distinct().collect():
+        sets.setdefault(r[0], set()).add(r[1])
+    keys = sorted(sets)
+    want = {(a, b, len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 4)) for a in keys for b in keys if a < b and sets[a] & sets[b]}
+    got = [tuple(r) for r in catalogue.goods_jaccard_pairs(spark, sf).select("l_key", "r_key", "both", "jaccard").collect()]
+    assert len(got) == len(want) > 60 * 59 // 2 and set(got) == want
