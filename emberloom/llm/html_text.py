@@ -8,7 +8,9 @@ are aligned by their longest common subsequence and the shared ones deleted.
 
 Differencing alone would delete articles that a site serves under two URLs and
 passages that articles share. Lines inside a marked article are therefore kept,
-and a page of which nothing would be left keeps its free lines.
+and a page of which nothing would be left keeps its free lines. End tags that
+HTML lets a page leave out (of head, p, list items, table parts and options) are
+supplied where the element ends.
 
 Defined results: null and empty html gives empty text; a null or odd URL is of
 the host "" or compares by its whole text; repeated pages are answered each;
@@ -52,6 +54,42 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 
+#: Elements that may stand in a head; any other one ends it.
+HEAD_TAGS = frozenset("head html title meta link base basefont bgsound noframes script style template noscript".split())
+_PARTS = frozenset("thead tbody tfoot".split())
+_ROWS = _PARTS | {"tr"}
+#: Elements whose end tag may be left out, with the elements whose start ends them.
+ENDED_BY = {
+    "li": frozenset(["li"]),
+    "dd": frozenset(["dd", "dt"]),
+    "dt": frozenset(["dd", "dt"]),
+    "td": _ROWS | {"td", "th"},
+    "th": _ROWS | {"td", "th"},
+    "tr": _ROWS,
+    "thead": _PARTS,
+    "tbody": _PARTS,
+    "tfoot": _PARTS,
+    "caption": _ROWS | {"colgroup"},
+    "option": frozenset(["option", "optgroup"]),
+    "optgroup": frozenset(["optgroup"]),
+}
+_ENDERS = frozenset(t for by in ENDED_BY.values() for t in by)
+_CELLS = _ROWS | {"td", "th", "caption", "colgroup"}
+
+
+def _within(name: str) -> frozenset[str]:
+    """Elements over whose bounds a tag of an element with optional end does not reach."""
+    if name in _CELLS:
+        return frozenset(["table", "template"])
+    if name in ("option", "optgroup"):
+        return frozenset(["select", "datalist", "template"])
+    return (BLOCKS | {"td", "th", "button", "object", "select", "template"}) - {"address", "div", "p"}
+
+
+_BOUNDS = {t: _within(t) for t in frozenset(ENDED_BY) | _ENDERS}
+#: Elements that an inline element's end tag does not close.
+_HOLDERS = BLOCKS | {"td", "th", "body"}
+
 _MARKUP = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
@@ -78,7 +116,8 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     """The page's text lines in order, each with its mark."""
     out: list[tuple[str, int]] = []
     now: list[str] = []
-    open_: list[list] = []  # name, mark, elements of the same name open inside
+    open_: list[tuple[str, int | None]] = []  # name, mark
+    count: dict[str, int] = defaultdict(int)  # of the names in open_
     mark = FREE
 
     def end_line():
@@ -88,17 +127,54 @@ def lines(page: str | None) -> list[tuple[str, int]]:
                 out.append((text, mark))
             now.clear()
 
-    def marked() -> int:
-        kinds = {m for _, m, _ in open_}
-        return NOISE if NOISE in kinds else MAIN if MAIN in kinds else FREE
+    def end_from(k: int):
+        """End open_[k] and all in it."""
+        nonlocal mark
+        gone = open_[k:]
+        changes = any(m is not None for _, m in gone)
+        if changes:
+            end_line()
+        del open_[k:]
+        for name, _ in gone:
+            count[name] -= 1
+        if changes:
+            kinds = {m for _, m in open_}
+            mark = NOISE if NOISE in kinds else MAIN if MAIN in kinds else FREE
+
+    def end_before(name: str):
+        """End what the start of an element ends."""
+        if name not in _ENDERS or not any(count[t] for t in ENDED_BY if name in ENDED_BY[t]):
+            return
+        cut = None
+        for k in range(len(open_) - 1, -1, -1):
+            other = open_[k][0]
+            if name in ENDED_BY.get(other, ()):
+                cut = k
+                if name not in _CELLS:
+                    break
+            elif other in _BOUNDS[name]:
+                break
+        if cut is not None:
+            end_from(cut)
+
+    def end_paragraph():
+        for k in range(len(open_) - 1, -1, -1):
+            if open_[k][0] == "p":
+                end_from(k)
+            if open_[k:] == [] or open_[k][0] in _HOLDERS or open_[k][0] in SKIPPED:
+                return
 
     page, at = page or "", 0
     while at < len(page):
         m = _MARKUP.search(page, at)
         if m is None:
+            if not page[at:].isspace() and open_ and open_[-1][0] == "head":
+                end_from(len(open_) - 1)
             now.append(page[at:])
             break
         if m.start() > at:
+            if open_ and open_[-1][0] == "head" and not page[at : m.start()].isspace():  # text ends a head
+                end_from(len(open_) - 1)
             now.append(page[at : m.start()])
         at = m.end()
         if m["odd"] is not None:
@@ -112,34 +188,36 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             now.append(" ")
         if name in BLOCKS:
             end_line()
-            if open_ and open_[-1][0] == "p":  # a paragraph ends where a block begins or ends
-                open_.pop()
-                mark = marked()
+            if count["p"]:  # a paragraph ends where a block begins or ends
+                end_paragraph()
         if closing:
+            if not count[name] or name == "p":
+                continue
+            bounds = _BOUNDS.get(name, ()) if name in ENDED_BY else () if name in _HOLDERS or name in SKIPPED else _HOLDERS
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
-                    open_[k][2] -= 1
-                    if not open_[k][2]:
-                        end_line()
-                        del open_[k:]
-                        mark = marked()
+                    end_from(k)
+                    break
+                if open_[k][0] in bounds:
                     break
             continue
+        if open_ and open_[-1][0] == "head" and name not in HEAD_TAGS:
+            end_from(len(open_) - 1)
+        end_before(name)
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
         if name in _RAW_END:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
             continue
-        for entry in reversed(open_):
-            if entry[0] == name:
-                entry[2] += name != "p"
-                break
         role = _role(name, attrs, mark == MAIN)
-        if role is not None and not (role == MAIN and mark == MAIN):
+        if role == MAIN and mark == MAIN:
+            role = None
+        if role is not None:
             end_line()
-            open_.append([name, role, 1])
-            mark = marked()
+            mark = NOISE if NOISE in (role, mark) else MAIN
+        open_.append((name, role))
+        count[name] += 1
     end_line()
     return out
 

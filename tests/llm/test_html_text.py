@@ -57,3 +57,20 @@ def test_copied_pages_keep_their_text(spark):
     got = ht.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert sorted(r["text"] for r in got) == ["Same"] * 2 + ["same\ntext"] * 3
     assert ht.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_end_tags_may_be_left_out():
+    article = "<article><p>A</article>"
+    for before in (
+        "<head><title>t</title><body>", "<head><meta charset=x><title>t</title>", "<html><head><link rel=x><script>1</script><body>",
+        "<ul><li class='share'>s<li>x</ul>", "<ul><li>x<li class='share'>s</ul>", "<ol><li class=ad>a<ul><li>b</ul><li>c</ol>",
+        "<dl><dt class=ad>a<dd>b<dt>c</dl>", "<dl><dd class=ad>a</dl>", "<table><tr><td class=ad>a<td>b<tr><th class=ad>c</table>",
+        "<table><thead class=menu><tr><td>a<tbody><tr class=ad><td>b</table>", "<div><li class=share>s</div>",
+        "<select><option>a<option>b</select>", "<datalist><option>a</datalist>", "<table><caption class=ad>k<tr><td>x</table>",
+    ):
+        assert ht.main_text(ht.lines(before + article), None) == "A", before
+    items = [t for t, mark in ht.lines("<ul><li class=share>s<li>x<li class=ad>a<ul><li>b</ul><li>y</ul><p>z") if mark == ht.FREE]
+    assert items == ["x", "y", "z"]
+    cells = [t for t, mark in ht.lines("<table><tr><td class=ad>a<tr><td>b<td class=ad>c<table><tr><td>d</table>e<tr><td>f</table>g") if mark == ht.FREE]
+    assert cells == ["b", "f", "g"]
+    assert [t for t, mark in ht.lines("<head><title>t</title>Text") if mark == ht.FREE] == ["Text"]
