@@ -73,3 +73,19 @@ def test_proximity(spark):
     bench = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
     got = dc.proximity_matches(dc.build_index(docs), bench, span=5).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, "i")}
+
+
+def test_items_without_an_id_contaminate(spark):
+    import duckdb
+
+    documents = [(1, "x of of of y"), (2, "short one"), (3, "clean"), (4, "of of of and short one and other words")]
+    benchmark = [(None, "of of of"), (None, "other words"), ("a", "short one")]
+    got = dc.digest(dc.contamination(spark.createDataFrame(documents, "doc_id bigint, text string"), spark.createDataFrame(benchmark, "item_id string, text string"))).collect()
+    a, none = dc.sha256_of_items(["a"]), dc.sha256_of_items([])
+    want = [(1, 5, 3, 1, none, True), (2, 2, 2, 1, a, True), (3, 1, 0, 0, none, False), (4, 9, 7, 2, a, True)]
+    assert sorted(tuple(r) for r in got) == want
+    con = duckdb.connect()
+    for name, key, kind, rows in (("documents", "doc_id", "BIGINT", documents), ("benchmark", "item_id", "VARCHAR", benchmark)):
+        con.execute(f"create table {name} ({key} {kind}, text VARCHAR)")
+        con.executemany(f"insert into {name} values (?, ?)", rows)
+    assert sorted(con.sql(dc.ORACLE).fetchall()) == want
