@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import hashlib
 import tempfile
 import uuid
@@ -54,7 +53,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner find shuffle files that nothing refers to any more, before others are written."""
-    gc.collect()
-    spark._jvm.System.gc()
+def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Write df into the shared folder in buckets of key: what is joined to it by key moves, its own rows don't.
+
+    It is written as it comes, without compression (for columns compressed already), and goes when the driver ends.
+    """
+    spark = df.sparkSession
+    name = f"emberloom_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/emberloom/{name}"
+    df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(min(buckets, 100_000), key).saveAsTable(name)
+    atexit.register(_remove_at_exit, spark, path)
+    return spark.table(name)

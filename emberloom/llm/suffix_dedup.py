@@ -7,57 +7,75 @@ window of ``LENGTH`` bytes has an anchor, the place of its least-hashed
 the same anchor make one record: the suffix from the anchor to the last
 window's end, then what stands before it, reversed.
 
-Each task sorts the records of its documents into runs, folds equal ones,
-front-codes each against the one before (length of the common prefix, then the
-rest) and sends every range of prefixes to one task. That task merges its runs
-with a loser tree that keeps each string's common prefix with the last winner:
-strings with different common prefixes are never compared again, equal ones
-only from there on. The common prefixes of neighbours in the merged order then
-tell which records can share a window with others at all; only those are
-looked at window by window. What is to be removed goes to the documents' tasks.
-
-Defined results: null and empty text has no bytes; windows never cross
-documents; rows of one id never remove from each other; a null id counts as
-larger than all others; repeated rows get equal results; an empty table gives
-no rows; other columns are ignored.
+Texts are written once, in runs of about ``RUN_BYTES``, bucketed by run, so that
+no later step moves them. A first exchange of the grams' sorted hashes finds the
+grams that stand in several documents; only their records can share a window.
+Each run sorts those records by the gram's hash and then by their bytes, folds
+equal ones to one with the least id, front-codes each against the one before
+(length of the common prefix, then the rest) and sends every range of hashes to
+one task. Ranges are even parts of the hashes, so nothing is sampled and the
+driver holds nothing that grows. A task merges its runs with a loser tree that
+keeps each string's common prefix with the last winner: strings with different
+common prefixes are never compared again, equal ones only from there on. The
+common prefixes of neighbours in the merged order tell which records can share
+a window with others at all; only those are looked at window by window. The
+least ids found go back to the runs, which cut their own texts.
+
+A record that stands in very many documents reaches its range once for each
+run; the windows of a gram with very many records are looked at in passes.
+
+Defined results: null and empty text has no bytes; a text of any length lies in
+one run as a whole; windows never cross documents; rows of one id never remove
+from each other; a null id counts as larger than all others; repeated rows get
+equal results; an empty table gives no rows; other columns are ignored, also
+those named like the columns used here.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import bucketed, materialise
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 50
 #: Bytes of the gram whose hash makes a window's anchor.
 GRAM = 16
 #: Bytes of text in one sorted run, about.
-RUN_BYTES = 10_000_000
-#: Bytes of text for each range of prefixes, about.
-RANGE_BYTES = 8_000_000
-#: Prefixes sampled for each range, to set the ranges' ends.
-SAMPLED = 40
+RUN_BYTES = 32_000_000
+#: Bytes of text for each range of hashes, about.
+RANGE_BYTES = 32_000_000
 #: Window starts hashed at once.
 BLOCK = 1_000_000
+#: Bits of a gram's hash that order the records, and their bytes before each record.
+HASH_BITS = 40
+HEAD = HASH_BITS // 8
+#: Windows of one gram looked at in one pass.
+PASS_WINDOWS = 2_000_000
 #: The id that null stands for.
 LAST_ID = 2**63 - 1
+#: Documents in one batch of results.
+ROWS = 2_000
 
 _U = np.uint64
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Records of concatenated documents: (first window start, end of the last window, anchor) arrays.
+    """Records of concatenated documents: first window start, end of the last window, anchor; and the hashes of their grams.
 
     ends holds each document's end in data.
     """
-    out = []
+    out, hashes = [], []
     width = length - gram + 1
     total = len(data)
     for lo in range(0, max(0, total - length + 1), BLOCK):
@@ -67,7 +85,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
         four = two[:-2] | two[2:] << _U(16)
         eight = four[:-4] | four[4:] << _U(32)
         n = len(part) - gram + 1
-        h = eight[:n] * _U(0x9E3779B97F4A7C15) + four[gram - 4 : gram - 4 + n] * _U(0xC2B2AE3D27D4EB4F)
+        h = eight[:n] * _U(0x9E3779B97F4A7C15) + eight[gram - 8 : gram - 8 + n] * _U(0xC2B2AE3D27D4EB4F)
         h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
         least = ((h >> _U(32)) << _U(32)) | np.arange(n, dtype=np.uint64)
         size = 1
@@ -76,19 +94,26 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
             size *= 2
         if size < width:
             least = np.minimum(least[: n - width + 1], least[width - size : width - size + n - width + 1])
-        at = (least & _U(0xFFFFFFFF)).astype(np.int64) + lo
-        s = np.arange(lo, hi)
-        doc = np.searchsorted(ends, s, side="right")
-        inside = s + length <= ends[np.minimum(doc, len(ends) - 1)]
-        s, at, doc = s[inside], at[inside], doc[inside]
+        at = (least & _U(0xFFFFFFFF)).astype(np.int64)
+        # starts whose window would reach into the next document
+        inside = np.ones(hi - lo, bool)
+        for end in ends[np.searchsorted(ends, lo, side="right") : np.searchsorted(ends, hi + length, side="left")].tolist():
+            inside[max(0, end - length + 1 - lo) : max(0, end - lo)] = False
+        s = np.flatnonzero(inside)
+        at = at[s]
         if not len(s):
             continue
         fresh = np.ones(len(s), bool)
-        fresh[1:] = (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1) | (doc[1:] != doc[:-1])
+        fresh[1:] = (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)
         first = np.flatnonzero(fresh)
         last = np.concatenate([first[1:], [len(s)]]) - 1
-        out.append(np.stack([s[first], s[last] + length, at[first]]))
-    return np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        out.append(np.stack([s[first], s[last] + length, at[first]]) + lo)
+        own = h[at[first]]
+        own = (own ^ (own >> _U(32))) * _U(0x94D049BB133111EB)
+        hashes.append((own ^ (own >> _U(29))) >> _U(64 - HASH_BITS))
+    if not out:
+        return np.zeros((3, 0), np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(out, axis=1), np.concatenate(hashes)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -237,107 +262,189 @@ def merge(runs: list[tuple[list[bytes], bytes]]):
             node >>= 1
 
 
-class _Removals:
-    """What is to be removed, by document, collected as arrays."""
+class Run:
+    """A run's documents as one stretch of bytes, its records in the order of their grams' hashes."""
 
-    def __init__(self):
-        self.rows: dict[tuple[int, int], list[int]] = defaultdict(list)
+    def __init__(self, blob: bytes, length: int):
+        self.rows = pa.ipc.open_stream(io.BytesIO(blob)).read_all().combine_chunks()
+        text = pc.fill_null(self.rows["text"], "").combine_chunks().cast(pa.large_binary())
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        self.data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.begins, self.ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        self.ids = pc.fill_null(self.rows["doc_id"], LAST_ID).to_numpy()
+        self.length = length
 
-    def add(self, doc: tuple[int, int], lo: int, hi: int) -> None:
-        self.rows[doc] += (lo, hi)
+    def sort(self) -> None:
+        records, hashes = anchors(self.data, self.ends, self.length)
+        order = np.argsort(hashes, kind="stable")
+        self.lo, self.hi, self.at = records[:, order]
+        self.hashes = hashes[order]
+        self.doc = np.searchsorted(self.ends, self.at, side="right")
+        self.first = np.flatnonzero(np.concatenate([[True], self.hashes[1:] != self.hashes[:-1]])) if len(self.hashes) else np.zeros(0, np.int64)
 
 
-def _copies(key: bytes, places: list, removed: _Removals) -> None:
-    """A record's copies in documents after its first go whole."""
-    least, right = places[0][0], key[-1]
-    if places[-1][0] > least:
-        left = len(key) - 1 - right
-        for doc, sub, at in places:
-            if doc > least:
-                removed.add((doc, sub), at - left, at + right)
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return ((hashes >> _U(HASH_BITS - 32)) * _U(ranges) >> _U(32)).astype(np.int64)
 
 
-def _group(members: list, places_of, removed: _Removals, length: int) -> None:
-    """Members (key, where it stands) share a gram and can share windows.
+def _cuts(values: np.ndarray) -> list[int]:
+    """Bounds of the runs of equal values."""
+    return [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)] if len(values) else []
 
-    places_of gives (id, sub, anchor) of what stands somewhere, ids ascending.
-    """
-    if len(members) == 1:
-        key, own = members[0]
-        _copies(key, places_of(own), removed)
+
+def _grams(run: Run, ranges: int):
+    """(range, blob) of the distinct hashes of a run's grams, with a bit for those in several of its documents."""
+    run.sort()
+    if not len(run.hashes):
         return
-    first: dict[bytes, int] = {}
-    opened = []
-    for key, own in members:
-        right = key[-1]
-        left = len(key) - 1 - right
-        places = places_of(own)
-        whole = key[right:-1][::-1] + key[:right]
-        windows = [whole[o : o + length] for o in range(len(whole) - length + 1)]
-        least = places[0][0]
-        for w in windows:
-            if first.get(w, LAST_ID + 1) > least:
-                first[w] = least
-        opened.append((left, windows, places))
-    for left, windows, places in opened:
-        ids = [first[w] for w in windows]
-        low = min(ids)
-        for doc, sub, at in places:
-            if doc <= low:
-                continue
-            lo = hi = None
-            for o, other in enumerate(ids):
-                if other < doc:
-                    if lo is None:
-                        lo = o
-                    hi = o
-                elif lo is not None:
-                    removed.add((doc, sub), at - left + lo, at - left + hi + length)
-                    lo = None
-            if lo is not None:
-                removed.add((doc, sub), at - left + lo, at - left + hi + length)
-
-
-def merge_range(blobs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> _Removals:
-    """Merge one range's runs and find what repeats."""
-    runs, begins, tables, many = [], [], [], []
+    distinct = run.hashes[run.first]
+    many = np.minimum.reduceat(run.doc, run.first) != np.maximum.reduceat(run.doc, run.first)
+    of = _range_of(distinct, ranges)
+    cuts = _cuts(of)
+    for a, b in zip(cuts, cuts[1:]):
+        own = distinct[a:b]
+        yield int(of[a]), _blob(_pack(np.diff(own, prepend=_U(0)).astype("<u8")), np.packbits(many[a:b]).tobytes())
+
+
+def _repeated(blobs: list[bytes]) -> list[bytes]:
+    """For each run's blob of a range, a bit for each of its hashes: does it stand in several documents?"""
+    hashes, many, sizes = [], [], []
+    for blob in blobs:
+        deltas, bits = _parts(blob)
+        own = np.cumsum(_unpack(deltas, "<u8"), dtype=np.uint64)
+        hashes.append(own)
+        sizes.append(len(own))
+        many.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool))
+    whole, found = np.concatenate(hashes), np.concatenate(many)
+    order = np.argsort(whole, kind="stable")
+    same = np.flatnonzero(whole[order][1:] == whole[order][:-1])
+    found[order[same]] = True
+    found[order[same + 1]] = True
+    ends = np.cumsum(sizes)
+    return [np.packbits(found[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes)]
+
+
+def _sorted_run(run: Run, flags: list[tuple[int, bytes]], ranges: int):
+    """(pieces, places) of a run: its front-coded records by range, and where each of them stands."""
+    run.sort()
+    distinct = run.hashes[run.first]
+    cuts = _cuts(_range_of(distinct, ranges))
+    bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for (_, b), n in zip(sorted(flags), np.diff(cuts).tolist(), strict=True)]
+    kept = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+    kept = np.repeat(kept, np.diff(np.concatenate([run.first, [len(run.hashes)]])))
+    lo, hi, at, doc, hashes = run.lo[kept], run.hi[kept], run.at[kept], run.doc[kept], run.hashes[kept]
+    if not len(lo):
+        return [], b""
+    data = run.data.tobytes()
+    heads = hashes.astype(">u8").tobytes()
+    keys = [
+        heads[k + 8 - HEAD : k + 8] + data[a:e] + data[s:a][::-1] + bytes((e - a,))
+        for k, s, e, a in zip(range(0, len(heads), 8), lo.tolist(), hi.tolist(), at.tolist(), strict=True)
+    ]
+    # records stand in the order of hashes already: only those of one gram are left to sort
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))
+    order = list(range(len(keys)))
+    for i, j in zip(first[:-1][np.diff(first) > 1].tolist(), first[1:][np.diff(first) > 1].tolist(), strict=True):
+        order[i:j] = sorted(range(i, j), key=keys.__getitem__)
+    ordered = [keys[i] for i in order]
+    place = np.array(order, np.int64)
+    fresh = np.flatnonzero(np.fromiter((a != b for a, b in zip(ordered, [None, *ordered])), bool, len(ordered)))
+    keys = [ordered[i] for i in fresh.tolist()]
+    counts = np.diff(np.concatenate([fresh, [len(place)]]))
+    ids = run.ids[doc[place]]
+    least = np.minimum.reduceat(ids, fresh)
+    many = least != np.maximum.reduceat(ids, fresh)
+    of = _range_of(hashes[place][fresh], ranges)
+    shared, rest = front_code(keys)
+    pieces = []
+    cuts = _cuts(of)
+    for a, b in zip(cuts, cuts[1:]):
+        c, r = shared[a:b].copy(), rest[a:b].copy()
+        c[0], r[0] = 0, len(keys[a])
+        pieces.append(
+            (int(of[a]), _blob(np.array([a], "<i8").tobytes(), c.tobytes(), r.tobytes(), rests(keys[a:b], c), _pack(least[a:b].astype("<i8")), np.packbits(many[a:b]).tobytes()))
+        )
+    begin = (lo[place] - run.begins[doc[place]]).astype("<u4")
+    return pieces, _blob(_pack(counts.astype("<u4")), _pack(doc[place].astype("<u4")), _pack(begin))
+
+
+class Found:
+    """Stretches of windows of a run's records, each with the least id that has them."""
+
+    def __init__(self, runs: int):
+        self.rows: list[list[int]] = [[] for _ in range(runs)]
+
+    def add(self, run: int, record: int, lo: int, hi: int, least: int) -> None:
+        self.rows[run] += (record, lo, hi, least)
+
+    def blob(self, run: int) -> bytes:
+        record, lo, hi, least = np.array(self.rows[run], np.int64).reshape(-1, 4).T
+        return _blob(_pack(record.astype("<i8")), lo.astype(np.uint8).tobytes(), hi.astype(np.uint8).tobytes(), _pack(least.astype("<i8")))
+
+
+def merge_range(blobs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Found:
+    """Merge one range's runs and find the windows that stand in a document with a smaller id."""
+    runs, base, ids, many = [], [], [], []
     for blob in blobs:
-        shared, rest, tails, counts, ids, subs, at = _parts(blob)
-        counts = _unpack(counts, "<u4")
+        begin, shared, rest, tails, least, bits = _parts(blob)
         runs.append((front_decode(shared, rest, tails), shared))
-        begins.append(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.uint32))
-        tables.append((_unpack(ids, "<i8"), _unpack(subs, "<i8"), _unpack(at, "<u4")))
-        many.append((counts > 1).tobytes())
+        base.append(int.from_bytes(begin, "little"))
+        ids.append(_unpack(least, "<i8").tolist())
+        many.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(shared)).tobytes())
     strings = [r for r, _ in runs]
+    found = Found(len(blobs))
+    least_of = gram + HEAD
+
+    def copies(key: bytes, own: list[tuple[int, int]]) -> None:
+        """A record's copies in documents after its first go whole."""
+        least = min([ids[r][i] for r, i in own])
+        last = len(key) - 1 - HEAD - length
+        for r, i in own:
+            if many[r][i] or ids[r][i] > least:
+                found.add(r, base[r] + i, 0, last, least)
+
+    def group(members: list) -> None:
+        """Members (key, where it stands) share a gram and can share windows."""
+        if len(members) == 1:
+            copies(*members[0])
+            return
+        opened = []
+        for key, own in members:
+            right = key[-1]
+            whole = key[HEAD + right : -1][::-1] + key[HEAD : HEAD + right]
+            opened.append((whole, own, min([ids[r][i] for r, i in own]), [LAST_ID + 1] * (len(whole) - length + 1)))
+        passes = 1 + sum(len(x[3]) for x in opened) // PASS_WINDOWS
+        for k in range(passes):
+            first: dict[bytes, int] = {}
+            for answer in (False, True):
+                for whole, _, least, seen in opened:
+                    for o in range(len(seen)):
+                        w = whole[o : o + length]
+                        if passes > 1 and hash(w) % passes != k:
+                            continue
+                        if answer:
+                            seen[o] = first[w]
+                        elif first.get(w, LAST_ID + 1) > least:
+                            first[w] = least
+        for _, own, _, seen in opened:
+            for a, b in zip(cuts := _cuts(np.array(seen, np.int64)), cuts[1:]):
+                for r, i in own:
+                    if many[r][i] or ids[r][i] > seen[a]:
+                        found.add(r, base[r] + i, a, b - 1, seen[a])
 
-    def places_of(own: list[tuple[int, int]]) -> list:
-        """The places of a record's runs, ids ascending."""
-        out = []
-        for run, at in own:
-            ids, subs, pos = tables[run]
-            a, b = begins[run].item(at), begins[run].item(at + 1)
-            if b - a == 1:
-                out.append((ids.item(a), subs.item(a), pos.item(a)))
-            else:
-                out += zip(ids[a:b].tolist(), subs[a:b].tolist(), pos[a:b].tolist(), strict=True)
-        if len(own) > 1:
-            out.sort()
-        return out
-
-    removed = _Removals()
     members: list = []
     key, own, near = b"", [], 0
 
     def settle() -> None:
         """No key has more in common with this one than its neighbours in sorted order:
         it joins its group's members only if that leaves room for a window, else only its copies count."""
-        if near >= gram:
+        if near >= least_of:
             right = key[-1]
-            if len(key) - 1 - right + min(near, right) >= length:
+            if len(key) - 1 - HEAD - right + min(near - HEAD, right) >= length:
                 members.append((key, own))
                 return
         if len(own) > 1 or many[own[0][0]][own[0][1]]:
-            _copies(key, places_of(own), removed)
+            copies(key, own)
 
     for run, at, common in merge(runs):
         string = strings[run][at]
@@ -346,105 +453,20 @@ def merge_range(blobs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> _
             continue
         if common > near:
             near = common
-        if own and (near >= gram or len(own) > 1 or many[own[0][0]][own[0][1]]):
+        if own and (near >= least_of or len(own) > 1 or many[own[0][0]][own[0][1]]):
             settle()
-        if common < gram and members:
-            _group(members, places_of, removed, length)
+        if common < least_of and members:
+            group(members)
             members = []
         key, own, near = string, [(run, at)], common
     if own:
         settle()
     if members:
-        _group(members, places_of, removed, length)
-    return removed
-
-
-def _runs(batches, splitters: np.ndarray, length: int):
-    """Rows (range, blob) of the task's sorted, front-coded runs."""
-
-    def flush(texts, ids, subs):
-        data = b"".join(texts)
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        lo, hi, at = anchors(np.frombuffer(data, np.uint8), ends, length)
-        if not len(at):
-            return
-        doc = np.searchsorted(ends, at, side="right")
-        begin = at - np.concatenate([[0], ends[:-1]])[doc]
-        keys = [data[a:e] + data[s:a][::-1] + bytes((e - a,)) for s, e, a in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)]
-        number = np.array(ids, np.int64)[doc]
-        # by key, then id: places of a record come in the order of ids
-        if (number[1:] < number[:-1]).any():
-            by_id = np.argsort(number, kind="stable")
-            order = by_id[np.array(sorted(range(len(keys)), key=[keys[i] for i in by_id.tolist()].__getitem__), np.int64)]
-        else:
-            order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
-        ordered = [keys[i] for i in order.tolist()]
-        fresh = np.fromiter((a != b for a, b in zip(ordered, [None, *ordered])), bool, len(ordered))
-        first = np.flatnonzero(fresh)
-        counts = np.diff(np.concatenate([first, [len(ordered)]])).astype("<u4")
-        distinct = [ordered[i] for i in first.tolist()]
-        heads = np.frombuffer(b"".join(k[:8] for k in distinct), ">u8").astype(np.uint64)
-        part = np.searchsorted(splitters, heads, side="right")
-        shared, rest = front_code(distinct)
-        number, sub, begin = number[order].astype("<i8"), np.array(subs, np.int64)[doc][order].astype("<i8"), begin[order].astype("<u4")
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
-        offset = [0, *np.cumsum(counts).tolist()]
-        numbers, blobs = [], []
-        for a, b in zip(bounds, bounds[1:]):
-            c = shared[a:b].copy()
-            r = rest[a:b].copy()
-            c[0], r[0] = 0, len(distinct[a])
-            tails = rests(distinct[a:b], c)
-            i, j = offset[a], offset[b]
-            numbers.append(int(part[a]))
-            blobs.append(_blob(c.tobytes(), r.tobytes(), tails, _pack(counts[a:b]), _pack(number[i:j]), _pack(sub[i:j]), _pack(begin[i:j])))
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["range", "blob"])
-
-    texts, ids, subs, size = [], [], [], 0
-    for batch in batches:
-        for doc_id, text, sub in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            own = (text.as_py() or "").encode("utf-8", "replace")
-            if len(own) < length:
-                continue
-            texts.append(own)
-            ids.append(LAST_ID if doc_id is None else doc_id)
-            subs.append(sub)
-            size += len(own)
-            if size >= RUN_BYTES:
-                yield from flush(texts, ids, subs)
-                texts, ids, subs, size = [], [], [], 0
-    if texts:
-        yield from flush(texts, ids, subs)
-
-
-def _range_ends(rows: DataFrame, ranges: int, length: int) -> np.ndarray:
-    """Ends of the ranges of 8-byte prefixes, from a sample whose size depends on their number alone."""
-    wanted = ranges * SAMPLED
-    n = rows.count()
-    # a document gives up to 20 prefixes; whole documents are drawn by a hash
-    share = min(1.0, max(wanted / 4, 200) / max(1, n))
-
-    def heads(batches):
-        for batch in batches:
-            found = []
-            for text in batch.column(1):
-                data = (text.as_py() or "").encode("utf-8", "replace")
-                _, _, at = anchors(np.frombuffer(data, np.uint8), np.array([len(data)]), length)
-                pick = at[np.linspace(0, len(at) - 1, min(20, len(at))).astype(int)] if len(at) else at
-                found += [int.from_bytes(data[a : a + 8], "big") - 2**63 for a in pick.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["head"])
-
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    sample = [r["head"] for r in drawn.mapInArrow(heads, "head bigint").orderBy(F.xxhash64("head", F.rand(3))).limit(4 * wanted).collect()]
-    sample = np.sort(np.array(sample, np.int64)).astype(object) + 2**63
-    ends = [int(sample[len(sample) * k // ranges]) for k in range(1, ranges)] if len(sample) else []
-    return np.array(sorted(set(ends)), np.uint64)
+        group(members)
+    return found
 
 
 _DOC = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
-SPANS_DDL = "doc_id bigint, n_bytes bigint, removed array<struct<lo:bigint,hi:bigint>>, kept string, kept_sha256 string"
-
-
 def merged_spans(pairs: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of (lo, hi) rows that touch or overlap."""
     if not len(pairs):
@@ -456,6 +478,45 @@ def merged_spans(pairs: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(pairs[first, 0].tolist(), top[np.concatenate([first[1:], [len(pairs)]]) - 1].tolist(), strict=True))
 
 
+def removals(run: Run, places: bytes, found: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+    """The removed stretches of a run's documents, by their place in the run."""
+    if not places or not found:
+        return {}
+    counts, doc, begin = (_unpack(p, "<u4").astype(np.int64) for p in _parts(places))
+    ends = np.cumsum(counts)
+    parts = [_parts(b) for b in found]
+    record, least = (np.concatenate([_unpack(p[k], "<i8") for p in parts]) for k in (0, 3))
+    lo, hi = (np.concatenate([np.frombuffer(p[k], np.uint8) for p in parts]).astype(np.int64) for k in (1, 2))
+    n = counts[record]
+    at = np.repeat(ends[record] - np.cumsum(n), n) + np.arange(n.sum())
+    gone = run.ids[doc[at]] > np.repeat(least, n)
+    at, lo, hi = at[gone], np.repeat(lo, n)[gone], np.repeat(hi, n)[gone]
+    # a byte between documents keeps their stretches apart
+    begins = run.begins + np.arange(len(run.begins))
+    base = begins[doc[at]] + begin[at]
+    spans = np.array(merged_spans(np.stack([base + lo, base + hi + run.length], axis=1)), np.int64).reshape(-1, 2)
+    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for k, a, b in zip((of := np.searchsorted(begins, spans[:, 0], side="right") - 1).tolist(), (spans[:, 0] - begins[of]).tolist(), (spans[:, 1] - begins[of]).tolist(), strict=True):
+        out[k].append((a, b))
+    return out
+
+
+def _ranged(batches):
+    """(range, [(run, blob)]) of rows that come sorted by range."""
+    rows = ((r, k, b) for batch in batches for r, k, b in zip(*(batch.column(c).to_pylist() for c in ("range", "run", "blob")), strict=True))
+    for r, own in groupby(rows, key=lambda x: x[0]):
+        yield r, [(k, b) for _, k, b in own]
+
+
+def _batch(rows: list[tuple], **kinds) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+_KINDS = {"run": pa.int64(), "range": pa.int32(), "blob": pa.binary()}
+_DDL = "run bigint, range int, blob binary"
+
+
 def repeated_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -464,101 +525,100 @@ def repeated_substrings(
     Columns named in carry come along, as a struct column ``carried``.
     """
     spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     other = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
-    all_rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), other.alias("carried"))
-    rows = all_rows.select("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), other.alias("carried"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
-    # ids that stand in several rows are told apart by a hash of the text; else the column is empty
-    again = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    sub = (F.xxhash64("text") if again else F.lit(0).cast("bigint")).alias("sub")
-    rows = rows.select("*", sub)
-    splitters = spark.sparkContext.broadcast(_range_ends(rows, ranges, length))
-    n_docs_parts = ranges
+    ranges = n * max(1, -(-total // (n * RANGE_BYTES)))
 
-    runs = rows.mapInArrow(lambda b: _runs(b, splitters.value, length), "range int, blob binary")
+    def deal(batches):
+        base, k, held, size = TaskContext.get().partitionId() << 20, 0, [], 0
+
+        def ship():
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+                for part in held:
+                    out.write_batch(part)
+            return _batch([(base + k, sink.getvalue())], run=pa.int64(), texts=pa.binary())
 
-    def combine(batches):
-        by_range: dict[int, list[bytes]] = defaultdict(list)
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_range[k].append(blob)
-        for k in sorted(by_range):
-            found = merge_range(by_range.pop(k), length).rows
-            parts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for doc in found:
-                parts[hash(doc[0]) % n_docs_parts].append(doc)
-            numbers, blobs = [], []
-            for bucket, own in parts.items():
-                own.sort()
-                pairs = [np.array(found[d], np.int64).reshape(-1, 2) for d in own]
-                flat = np.concatenate(pairs)
-                numbers.append(bucket)
-                blobs.append(
-                    _blob(
-                        _pack(np.array([d[0] for d in own], "<i8")),
-                        _pack(np.array([d[1] for d in own], "<i8")),
-                        _pack(np.array([len(p) for p in pairs], "<u4")),
-                        _pack(flat[:, 0].astype("<u4")),
-                        _pack((flat[:, 1] - flat[:, 0]).astype("<u4")),
-                    )
-                )
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                done = int(sizes[at - 1]) if at else 0
+                end = min(batch.num_rows, int(np.searchsorted(sizes, done + RUN_BYTES - size)) + 1)
+                held.append(batch.slice(at, end - at))
+                size += int(sizes[end - 1]) - done
+                at = end
+                if size >= RUN_BYTES:
+                    yield ship()
+                    k, held, size = k + 1, [], 0
+        if held:
+            yield ship()
+
+    base = bucketed(rows.mapInArrow(deal, "run bigint, texts binary"), "texts", "run", n)
+
+    def grams(batches):
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield _batch([(number, r, b) for r, b in _grams(Run(blob.as_py(), length), ranges)], **_KINDS)
+
+    def repeated(batches):
+        for r, own in _ranged(batches):
+            yield _batch([(k, r, b) for (k, _), b in zip(own, _repeated([b for _, b in own]), strict=True)], **_KINDS)
+
+    def by_range(found: DataFrame, step) -> DataFrame:
+        return found.repartition(n, "range").sortWithinPartitions("range").mapInArrow(step, _DDL)
 
-    removals = materialise(runs.repartition(ranges, "range").mapInArrow(combine, "bucket int, blob binary"), "removals")
+    def with_runs(found: DataFrame) -> DataFrame:
+        each = found.groupBy("run").agg(F.collect_list(F.struct("range", "blob")).alias("found"))
+        return base.join(each.hint("merge"), "run", "left").select("run", "texts", "found")
 
-    del runs
-    release(spark)
+    flags = materialise(by_range(base.mapInArrow(grams, _DDL), repeated), "flags")
 
-    def buckets(batches):
+    def pieces(batches):
         for batch in batches:
-            own = [hash(LAST_ID if i is None else i) % n_docs_parts for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *batch.columns], names=["bucket", "doc_id", "text", "carried", "sub"])
+            for number, blob, own in zip(*batch.columns, strict=True):
+                made, places = _sorted_run(Run(blob.as_py(), length), [(x["range"], x["blob"]) for x in own.as_py() or []], ranges)
+                yield _batch([(number.as_py(), r, b) for r, b in made] + ([(number.as_py(), -1, places)] if places else []), **_KINDS)
 
-    carried_ddl = all_rows.schema["carried"].dataType.simpleString()
-    texts = all_rows.select("*", sub).mapInArrow(buckets, f"bucket int, doc_id bigint, text string, carried {carried_ddl}, sub bigint")
-    both = texts.withColumn("blob", F.lit(None).cast("binary")).unionByName(removals, allowMissingColumns=True)
+    dealt = materialise(with_runs(flags).mapInArrow(pieces, _DDL), "pieces")
+
+    def combine(batches):
+        for r, own in _ranged(batches):
+            found = merge_range([b for _, b in own], length)
+            yield _batch([(k, r, found.blob(i)) for i, (k, _) in enumerate(own) if found.rows[i]], **_KINDS)
+
+    found = materialise(by_range(dealt.where("range >= 0"), combine), "found")
+    carried = rows.schema["carried"].dataType.simpleString()
 
     def cut(batches):
-        bucket, spans = None, {}
         for batch in batches:
-            out: list[tuple] = []
-            rest: list[int] = []
-            for place, (k, doc_id, text, sub, blob) in enumerate(zip(*(batch.column(c) for c in ("bucket", "doc_id", "text", "sub", "blob")), strict=True)):
-                if k.as_py() != bucket:
-                    bucket, spans = k.as_py(), defaultdict(list)
-                if blob.is_valid:
-                    ids, subs, counts, lo, size = (_unpack(p, t) for p, t in zip(_parts(blob.as_py()), ("<i8", "<i8", "<u4", "<u4", "<u4"), strict=True))
-                    pairs = np.stack([lo.astype(np.int64), lo.astype(np.int64) + size], axis=1)
-                    for key, own in zip(zip(ids.tolist(), subs.tolist(), strict=True), np.split(pairs, np.cumsum(counts, dtype=np.int64)[:-1]), strict=True):
-                        spans[key].append(own)
-                    continue
-                rest.append(place)
-                data = (text.as_py() or "").encode("utf-8", "replace")
-                own = spans.get((doc_id.as_py() if doc_id.is_valid else LAST_ID, sub.as_py()))
-                gone = merged_spans(np.concatenate(own)) if own else []
-                kept = b"".join(data[a:b] for a, b in zip([0, *(h for _, h in gone)], [*(lo for lo, _ in gone), len(data)], strict=True))
-                out.append(
-                    (
-                        doc_id.as_py(),
-                        len(data),
-                        [{"lo": a, "hi": b} for a, b in gone],
-                        kept.decode("utf-8", "ignore") if with_text else None,
-                        hashlib.sha256(kept).hexdigest(),
+            for _, blob, own in zip(*batch.columns, strict=True):
+                run = Run(blob.as_py(), length)
+                own = own.as_py() or []
+                gone = removals(run, next((x["blob"] for x in own if x["range"] < 0), b""), [x["blob"] for x in own if x["range"] >= 0])
+                for at in range(0, run.rows.num_rows, ROWS):
+                    part = run.rows.slice(at, ROWS).combine_chunks()
+                    spans, kept = [], []
+                    for k in range(at, at + part.num_rows):
+                        data, cuts = run.data[run.begins[k] : run.ends[k]], gone.get(k, [])
+                        spans.append([{"lo": a, "hi": b} for a, b in cuts])
+                        kept.append(b"".join(data[a:b].tobytes() for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(data)], strict=True)))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part["doc_id"].combine_chunks(),
+                            pa.array((run.ends - run.begins)[at : at + part.num_rows], pa.int64()),
+                            pa.array(spans, pa.list_(_DOC)),
+                            pa.array([x.decode("utf-8", "ignore") if with_text else None for x in kept], pa.string()),
+                            pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+                            part["carried"].combine_chunks(),
+                        ],
+                        names=["doc_id", "n_bytes", "removed", "kept", "kept_sha256", "carried"],
                     )
-                )
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(_DOC), pa.string(), pa.string()), strict=True)),
-                    batch.column("carried").take(pa.array(rest, pa.int64())),
-                ],
-                names=["doc_id", "n_bytes", "removed", "kept", "kept_sha256", "carried"],
-            )
-
-    # a bucket's blobs come before its texts
-    dealt = both.repartition(ranges, "bucket").sortWithinPartitions("bucket", F.col("blob").isNull())
-    made = dealt.select("bucket", "doc_id", "text", "sub", "blob", "carried").mapInArrow(cut, f"{SPANS_DDL}, carried {carried_ddl}")
+
+    ddl = f"doc_id bigint, n_bytes bigint, removed array<struct<lo:bigint,hi:bigint>>, kept string, kept_sha256 string, carried {carried}"
+    made = with_runs(dealt.where("range < 0").unionByName(found)).mapInArrow(cut, ddl)
     return (made if carry else made.drop("carried")).withColumnRenamed("doc_id", id_col)
 
 

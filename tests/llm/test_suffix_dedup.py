@@ -1,4 +1,5 @@
 import hashlib
+import io
 import random
 
 import numpy as np
@@ -55,19 +56,37 @@ def test_many_small_runs_and_blocks(monkeypatch):
     rows = corpus()
     import pyarrow as pa
 
-    monkeypatch.setattr(sd, "RUN_BYTES", 2000)
     monkeypatch.setattr(sd, "BLOCK", 97)
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows]), pa.array([0] * len(rows))], names=["doc_id", "text", "sub"])
-    blobs = {}
-    for out in sd._runs([batch], np.array([2**62, 2**62 + 2**61], np.uint64), 50):
-        for k, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
-            blobs.setdefault(k, []).append(b)
-    assert max(map(len, blobs.values())) > 8
-    gone = {}
-    for own in blobs.values():
-        for (doc, _), pairs in sd.merge_range(own).rows.items():
-            gone.setdefault(doc, []).append(np.array(pairs).reshape(-1, 2))
-    got = {i: sum(b - a for a, b in sd.merged_spans(np.concatenate(gone[i]))) if i in gone else 0 for i, _ in rows}
+    monkeypatch.setattr(sd, "PASS_WINDOWS", 50)
+    ranges, runs, grams = 3, [], {}
+    for k in range(0, len(rows), 9):
+        own = rows[k : k + 9]
+        sink = io.BytesIO()
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in own]), pa.array([t for _, t in own], pa.string())], names=["doc_id", "text"])
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        runs.append(sd.Run(sink.getvalue(), 50))
+        for r, blob in sd._grams(runs[-1], ranges):
+            grams.setdefault(r, []).append((len(runs) - 1, blob))
+    flags = {}
+    for r, own in grams.items():
+        for (k, _), bits in zip(own, sd._repeated([b for _, b in own])):
+            flags.setdefault(k, []).append((r, bits))
+    pieces, places = {}, {}
+    for k, run in enumerate(runs):
+        made, places[k] = sd._sorted_run(run, flags.get(k, []), ranges)
+        for r, blob in made:
+            pieces.setdefault(r, []).append((k, blob))
+    assert max(map(len, pieces.values())) > 8
+    found = {}
+    for own in pieces.values():
+        merged = sd.merge_range([b for _, b in own])
+        for i, (k, _) in enumerate(own):
+            found.setdefault(k, []).append(merged.blob(i))
+    got = {}
+    for k, run in enumerate(runs):
+        gone = sd.removals(run, places[k], found.get(k, []))
+        got |= {i: sum(b - a for a, b in gone.get(d, [])) for d, i in enumerate(run.ids.tolist())}
     assert got == {int(i): n for i, _, n, _, _ in brute(rows)}
 
 
