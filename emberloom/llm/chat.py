@@ -2,18 +2,27 @@
 
 A log has events of messages: ``start`` and ``delta`` add text, ``edit``
 replaces it, ``regenerate`` empties it (and adds its own text), ``delete``
-takes the message away. Events are folded per message in sequence order, the
-messages stand in the order of their first event and are rendered in blocks of
-``BLOCK`` places of a conversation, and the blocks are joined, so that a long
-conversation is worked on in many tasks before its one row is made.
+takes the message away. Events are folded per message in sequence order, and the
+messages stand in the order of their first event.
+
+A conversation of ``LONG`` events at most is dealt to one task by its id, and is
+folded and rendered there without another exchange. A longer one is dealt by
+message, rendered in blocks of ``BLOCK`` places, and its blocks are joined, so
+that it is worked on in many tasks before its one row is made. Which ones are
+long is counted first; their list is broadcast only up to ``LISTED`` ids.
 
 Template: ``<s>``, then ``[INST role]text</s>`` for each message. Texts and
 roles have ``&``, ``<``, ``[`` and ``]`` written as ``&amp;``, ``&lt;``,
 ``&lb;`` and ``&rb;``, so that no control string can stand inside a text.
 
 Defined results: null text and role are empty; rows of the same turn stay
-separate turns, ordered by role and text; a null conversation id is a
-conversation; null turns come first; an empty table gives no conversation.
+separate turns, ordered by role and text; events of equal sequence number stand
+in the order of op, role and text, and an edit or regeneration counts with what
+stands behind it; repeated events count each; a null conversation id is a
+conversation, a null message id one message of it; null turns and sequence
+numbers come first; texts of any length stay whole; other columns are ignored,
+whatever their names; an empty table gives no conversation, nor does one of
+which all messages are deleted.
 """
 
 from __future__ import annotations
@@ -21,7 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Places of a conversation that are rendered in one task.
+from .common import materialise
+
+#: Events up to which a conversation stays in one task, and long ones whose list is broadcast.
+LONG = 2_048
+LISTED = 50_000
+#: Places of a long conversation that are rendered in one task.
 BLOCK = 256
 #: What is escaped, the sign of escapes first.
 ESCAPES = [("&", "&amp;"), ("<", "&lt;"), ("[", "&lb;"), ("]", "&rb;")]
@@ -46,6 +60,7 @@ def fold(events: DataFrame) -> DataFrame:
     place is the sequence number of a message's first event; the role is that
     of its first event that has one.
     """
+    events = events.select("conv_id", "message_id", "seq", "op", "role", "text")
     reset = F.col("op").isin("edit", "regenerate")
     each = events.groupBy("conv_id", "message_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "op", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("events"),
@@ -76,6 +91,16 @@ def events_of_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def conversations(events: DataFrame, trained: str = "assistant") -> DataFrame:
+    """render(fold(events)), with the events of all but long conversations dealt once, by conversation."""
+    n = events.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select(F.col("conv_id").alias("long_id"))
+    long = materialise(n, "long")
+    listed = F.broadcast(long) if long.count() <= LISTED else long
+    same = events["conv_id"].eqNullSafe(listed["long_id"])
+    short = events.join(listed, same, "left_anti").repartition("conv_id")
+    return render(fold(short), trained).unionByName(render(fold(events.join(listed, same, "left_semi")), trained))
+
+
 def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
     """conv_id, n_messages, formatted, loss_spans (start, length: code points of trained texts)."""
     text, role = escape(F.coalesce("text", F.lit(""))), escape(F.coalesce("role", F.lit("")))

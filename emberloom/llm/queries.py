@@ -34,9 +34,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
-    return chat.digest(chat.render(chat.fold(chat.events_of_rows(rows.unionByName(extra)))))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digest(chat.conversations(chat.events_of_rows(rows.unionByName(probe))))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
