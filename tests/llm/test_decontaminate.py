@@ -9,12 +9,12 @@ def brute(text, items):
     for name, item in items:
         w = dc.words(item)
         size = min(10, len(w))
-        for k in range(max(1, len(w) - size + 1)) if w and name is not None else ():
+        for k in range(max(1, len(w) - size + 1)) if w else ():
             for i in range(len(own) - size + 1):
                 if own[i : i + size] == w[k : k + size]:
                     hit.update(range(i, i + size))
                     found.add(name)
-    return len(own), len(hit), len(found), dc.sha256_of_items(sorted(found)), bool(hit)
+    return len(own), len(hit), len(found), dc.sha256_of_items([x for x in found if x is not None]), bool(hit)
 
 
 def tables(spark):
@@ -89,3 +89,13 @@ def test_items_without_an_id_contaminate(spark):
         con.execute(f"create table {name} ({key} {kind}, text VARCHAR)")
         con.executemany(f"insert into {name} values (?, ?)", rows)
     assert sorted(con.sql(dc.ORACLE).fetchall()) == want
+
+
+def test_very_long_text_and_benchmark(spark):
+    rng = random.Random(4)
+    own = [f"w{rng.randint(0, 5000)}" for _ in range(300_000)]
+    lo = 123_456
+    docs = spark.createDataFrame([(1, " ".join(own)), (2, "w1 w2")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([("long", " ".join(own[lo : lo + 2_000])), ("gone", "no such words here")], "item_id string, text string")
+    got = {r["doc_id"]: r for r in dc.digest(dc.contamination(docs, bench)).collect()}
+    assert (got[1]["n_words"], got[1]["n_hit"], got[1]["n_items"]) == (300_000, 2_000, 1) and not got[2]["contaminated"]
