@@ -5,15 +5,21 @@ it as candidates; character trigrams score the word under each; a Viterbi pass
 with a penalty for switching labels the words, so that a text falls into spans
 of one language. A text's language is the one whose spans have most letters.
 
-The model is fitted on the driver on a bounded sample of labelled rows: per
-language at most about ``TRAIN_DOCS`` documents of at most ``TRAIN_CHARS``
-characters, chosen by a hash of the id among all labelled rows. Prediction
-reads nothing but the text, whole texts, and runs without a shuffle.
+The model is fitted on the driver on a bounded sample of labelled rows: of each
+language, however many there are, about ``TRAIN_DOCS`` documents of at most
+``TRAIN_CHARS`` characters, or as many as keep its share of ``TRAIN_TOTAL``
+characters for all languages, chosen by a hash of the id among all labelled
+rows. Prediction reads nothing but the text, whole texts, and runs without a
+shuffle.
 
 Defined results: null text or text without a letter is ``und`` with score 0;
 letters of scripts no learned language uses count for none; a text with only
 such letters gets the commonest learned language with score 0; without any
-labelled row everything is ``und``. Every row is answered by itself.
+labelled row everything is ``und``. Of labels that cost the same a word keeps
+the one before it, else takes the language that sorts first; so does a text of
+which two languages hold equally many letters. Texts of any length are labelled
+whole; every row is answered by itself, repeated ids included; other columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,8 +40,8 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 300
 #: Longest document that the sample takes, in characters.
 TRAIN_CHARS = 20_000
-#: Languages learned at most, the commonest first.
-LANGUAGES = 200
+#: Characters that the sample of all languages takes, about.
+TRAIN_TOTAL = 60_000_000
 #: Cost of a switch, in nats.
 SWITCH = 6.0
 #: A word moves the decision by this many nats at most.
@@ -275,11 +281,13 @@ def is_held_out(id_col: str = "doc_id"):
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from the bounded sample of the labelled rows given."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
-    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30))
+    sizes = rows.groupBy(lang_col).agg(F.count("*").alias("n"), F.sum(F.length(text_col)).alias("chars"), F.min(draw).alias("first")).collect()
     if not sizes:
         return Model([])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30))
-    below = {r[0]: min(1 << 30, int((1 << 30) * TRAIN_DOCS / r["count"]) + 1) for r in sizes}
+    share = TRAIN_TOTAL / len(sizes)
+    # no language is left without a document
+    below = {r[0]: max(r["first"] + 1, min(1 << 30, int((1 << 30) * min(TRAIN_DOCS / r["n"], share / max(1, r["chars"]))) + 1)) for r in sizes}
     limit = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])[F.col(lang_col)]
     sample = rows.where(draw < limit).select(F.col(lang_col), F.col(text_col)).collect()
     return Model(sorted((r[0], r[1]) for r in sample))
