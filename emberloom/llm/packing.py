@@ -10,8 +10,11 @@ The first pass is written to the shared folder, so documents are tokenized
 once, and sequence ids, which derive from partition and order, stay fixed when
 executors are lost.
 
-Defined results: null and empty text is the end id alone; every row is packed
-by itself, repeated ids included; no rows give no pieces.
+Defined results: null and empty text is the end id alone; a text of any length
+is cut into full windows and a rest; of equally full windows the one opened last
+takes a rest, and of equally full ones to emit the first goes; every row is
+packed by itself, repeated ids included; other columns are ignored, whatever
+their names; no rows give no pieces.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import PATTERN, Kept, byte_alphabet, chunks
+from .tokens import PATTERN, Kept, byte_alphabet, chunks, ids_are_ranks, plain_byte_level
 
 #: Tokens of a sequence at most.
 SEQUENCE = 1024
@@ -66,9 +69,11 @@ class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, chunk by chunk from a kept table.
 
     The table is filled by the file's vocabulary as ranks, which gives the
-    library's ids; chunks with special strings or with signs outside
-    ``PLAIN``, where the two libraries' Unicode tables may differ, go to
-    the file's own library.
+    library's ids where the file cuts texts by ``PATTERN`` and its ids stand
+    in the order of its merges; both are checked when it is loaded, and any
+    other file goes to its own library as a whole. So do chunks with special
+    strings or with signs outside ``PLAIN``, where the two libraries' Unicode
+    tables may differ.
     """
 
     def __init__(self, path: str, end_id: int = 0):
@@ -78,6 +83,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.end = np.array([end_id], "<u4").tobytes()
+        self.by_ranks = plain_byte_level(spec) and ids_are_ranks(spec)
+        if not self.by_ranks:
+            return
         byte_of = byte_alphabet()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if all(c in byte_of for c in token)}
         special = {t["content"] for t in spec["added_tokens"]}
@@ -86,7 +95,6 @@ class Encoder:
         self.special = re.compile("|".join([*map(re.escape, sorted(special)), f"[^{PLAIN}]"]))
         self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.kept = Kept(self._fresh, KEPT)
-        self.end = np.array([end_id], "<u4").tobytes()
 
     def _fresh(self, chunks: list[str]) -> list[bytes]:
         out = []
@@ -98,6 +106,8 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_ranks:
+            return [pack_ids(e.ids) + self.end for e in self.library.encode_batch(texts, add_special_tokens=False)]
         cut = [chunks(t) for t in texts]
         known = self.kept.of(set().union(*cut)).__getitem__
         return [b"".join(map(known, own)) + self.end for own in cut]

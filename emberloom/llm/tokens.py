@@ -20,6 +20,26 @@ _RUNS = re.compile(r"\s\s")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
 
 
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file cuts texts by PATTERN and nothing else, so that chunks() may cut them first."""
+    before = spec.get("pre_tokenizer") or {}
+    cut = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    model = spec["model"]
+    plain = all(not model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+    return bool(cut and plain and model.get("type", "BPE") == "BPE" and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
+
+
+def ids_are_ranks(spec: dict) -> bool:
+    """Whether the vocabulary's ids stand in the order of the merges that make them, one merge for each token of several bytes."""
+    vocab = spec["model"]["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    made = [vocab.get(a + b, -1) for a, b in pairs]
+    alphabet = byte_alphabet()
+    special = {t["content"] for t in spec["added_tokens"]}
+    several = sum(len(t) > 1 and t not in special for t in vocab)
+    return all(c in vocab for c in alphabet) and len(made) == several and all(x < y for x, y in zip([max(vocab[c] for c in alphabet), *made], made))
+
+
 def byte_alphabet() -> dict[str, int]:
     """The byte that each sign of byte-level vocabularies stands for: printable bytes for
     themselves, the others, in order, as the code points from 256 on."""
@@ -69,6 +89,7 @@ class MergeTable:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
+        self.plain = plain_byte_level(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = spec["model"]["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]

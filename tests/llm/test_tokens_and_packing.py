@@ -88,3 +88,35 @@ def test_rank_synchronous_merging_equals_one_by_one(spark):
             r, i = min(options)
             own[i : i + 2] = [int(table.made[r])]
         assert len(own) == n
+
+
+def other_file(tmp_path, change):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    change(spec)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    return str(path)
+
+
+def test_files_of_another_kind_go_to_their_library(spark, tmp_path):
+    def swap(spec):  # ids no longer stand in the order of the merges
+        vocab = spec["model"]["vocab"]
+        a, b = sorted(vocab, key=vocab.get)[300], sorted(vocab, key=vocab.get)[40_000]
+        vocab[a], vocab[b] = vocab[b], vocab[a]
+
+    def whole(spec):  # another pre-tokenizer: pieces reach over blanks
+        spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}
+
+    assert packing.Encoder(PATH).by_ranks and token_count.Counter(PATH).table.plain
+    for k, (change, plain) in enumerate(((swap, True), (whole, False))):
+        (tmp_path / str(k)).mkdir()
+        path = other_file(tmp_path / str(k), change)
+        library, own, counter = Tokenizer.from_file(path), packing.Encoder(path), token_count.Counter(path)
+        assert not own.by_ranks and counter.table.plain == plain
+        texts = odd_texts(40)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [[*ids, 0] for ids in want]
+        assert counter.counts(texts) == [len(ids) for ids in want]
