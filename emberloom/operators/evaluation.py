@@ -6,6 +6,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges into which an order over all rows is cut.
+BINS = 64
+
+
+def prefix_sums(counts: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """Adds below_<c>, the sum of c over rows of smaller order, and total_<c>; order is distinct in counts.
+
+    No task sees all rows: they fall into BINS ranges at approximate
+    quantiles, sums run within a range, and what lies before a range comes
+    from a table of one row for each range.
+    """
+    cuts = counts.agg(F.percentile_approx(order, [k / BINS for k in range(1, BINS)], 1000).alias("_cuts"))
+    placed = counts.crossJoin(F.broadcast(cuts)).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    sums = placed.groupBy("_bin").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    before, everything = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    starts = sums.select(
+        "_bin", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns], *[F.sum(f"_s_{c}").over(everything).alias(f"total_{c}") for c in columns]
+    )
+    within = Window.partitionBy("_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_w_{c}") for c in columns])
+    joined = own.join(F.broadcast(starts), "_bin")
+    return joined.select(*counts.columns, *[(F.col(f"_b_{c}") + F.col(f"_w_{c}")).alias(f"below_{c}") for c in columns], *[f"total_{c}" for c in columns])
+
 
 def _by(keys: list[str]) -> list[Column]:
     return [F.col(k) for k in keys]
@@ -25,9 +48,16 @@ def by_score(rows: DataFrame, keys: list[str], weight: Column | None = None) ->
 def auc(rows: DataFrame, keys: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """Weighted area under the ROC curve, ties counting half; null if one class is missing."""
     keys = keys or []
-    counts = by_score(rows, keys, weight)
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    steps = counts.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    return auc_of_counts(by_score(rows, keys, weight), keys)
+
+
+def auc_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """auc() from the weights of positives and negatives at each distinct score."""
+    if keys:
+        below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+        steps = counts.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    else:
+        steps = prefix_sums(counts, "score", ["neg"]).withColumnRenamed("below_neg", "below")
     area = F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg")))
     return steps.groupBy(*keys).agg(
         F.sum("n").alias("n"),
@@ -55,6 +85,10 @@ def from_top(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """At each distinct score: support, precision and recall of what scores at least as much."""
     keys = keys or []
     counts = by_score(rows, keys)
+    if not keys:
+        found = prefix_sums(counts, "score", ["n", "pos"])
+        n, pos = (F.col(f"total_{c}") - F.col(f"below_{c}") for c in ("n", "pos"))
+        return found.select("score", n.alias("support"), (pos / n).alias("precision"), (pos / F.col("total_pos")).alias("recall"))
     above = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(*keys)
     return counts.select(
@@ -120,19 +154,15 @@ def threshold_grid(rows: DataFrame, taus: list[float]) -> DataFrame:
 
 def best_accuracy(rows: DataFrame) -> DataFrame:
     """The score cut of highest accuracy, of equal ones the lowest."""
-    counts = by_score(rows, [])
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    right = F.sum("pos").over(above) + F.coalesce(F.sum("neg").over(below), F.lit(0.0))
-    scored = counts.select("score", right.alias("right"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    sums = prefix_sums(by_score(rows, []), "score", ["pos", "neg", "n"])
+    scored = sums.select("score", (F.col("total_pos") - F.col("below_pos") + F.col("below_neg")).alias("right"), F.col("total_n").alias("total"))
     return scored.agg(F.max_by("score", F.struct("right", -F.col("score"))).alias("threshold"), (F.max("right") / F.first("total")).alias("accuracy"))
 
 
 def average_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Average ranks of a column, from counts of its distinct values."""
-    counts = rows.groupBy(column).count()
-    before = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(column, (F.coalesce(F.sum("count").over(before), F.lit(0)) + (F.col("count") + 1) / 2).alias(name))
+    counts = prefix_sums(rows.groupBy(column).count(), column, ["count"])
+    ranks = counts.select(column, (F.col("below_count") + (F.col("count") + 1) / 2).alias(name))
     return rows.join(ranks, column)
 
 
@@ -187,9 +217,15 @@ POISSON_CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9
 
 
 def bootstrap_auc(rows: DataFrame, case: str, replicates: int = 100, seed: int = 0) -> DataFrame:
-    """Case-resampled AUCs: per replicate, those with both classes."""
+    """Case-resampled AUCs: per replicate, those with both classes.
+
+    Rows are counted by case and score first, so that not they but their distinct scores are replicated.
+    """
+    counts = by_score(rows, [case])
     times = replicate_weights(rows, case, replicates, seed).where("times > 0")
-    return auc(rows.join(times, case), ["replicate"], F.col("times").cast("double")).where("auc is not null")
+    each = counts.join(times, case).groupBy("replicate", "score")
+    drawn = each.agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("pos", "neg", "n")])
+    return auc_of_counts(drawn, ["replicate"]).where("auc is not null")
 
 
 def interval(replicated: DataFrame, column: str = "auc") -> DataFrame:
@@ -210,8 +246,8 @@ def matched_cuts(named: DataFrame, nameless: DataFrame, grades: int = 3) -> Data
         named.select(F.col("grade").alias("g")), F.col("g") >= F.col("grade"), "left"
     ).groupBy("grade").agg(F.count("g").alias("k"))
     counts = nameless.groupBy("p").agg(F.count_if(~F.col("lifted")).alias("free"), F.count("*").alias("all"))
-    above = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.select("p", F.sum("free").over(above).alias("free"), F.sum("all").over(above).alias("all"))
+    sums = prefix_sums(counts, "p", ["free", "all"])
+    placed = sums.select("p", *[(F.col(f"total_{c}") - F.col(f"below_{c}")).alias(c) for c in ("free", "all")])
     lifted = nameless.agg(F.count_if("lifted").alias("lifted"))
     cells = wanted.crossJoin(F.broadcast(lifted)).withColumn("need", F.when(F.col("grade") == grades, F.col("k")).otherwise(F.col("k") - F.col("lifted")))
     reached = F.when(F.col("grade") == grades, F.col("all")).otherwise(F.col("free")) >= F.col("need")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberloom.session import use_checkpoint_dir
+
 
 def groups_by_shared_key(rows: DataFrame, node: str, key: str) -> DataFrame:
     """(node, root): nodes that share a key, directly or over others, get the least of them.
@@ -12,13 +14,7 @@ def groups_by_shared_key(rows: DataFrame, node: str, key: str) -> DataFrame:
     Labels go from nodes to keys and back by minima, with map-side combine; the
     labels are checkpointed each round so that the lineage stays short.
     """
-    if rows.sparkSession.sparkContext.getCheckpointDir() is None:
-        found = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            import tempfile
-
-            found = "file://" + tempfile.mkdtemp(prefix="emberloom-graph-")
-        rows.sparkSession.sparkContext.setCheckpointDir(found)
+    use_checkpoint_dir(rows.sparkSession)
     edges = rows.where(F.col(node).isNotNull()).select(node, key).distinct().checkpoint()
     labels = edges.select(node).distinct().withColumn("root", F.col(node)).checkpoint()
     linked = edges.where(F.col(key).isNotNull())

@@ -142,6 +142,11 @@ def overall(top: DataFrame, query: str) -> DataFrame:
 
 def coupling_violations(spark, tolerance: float = 1e-9) -> DataFrame:
     """Vertices of the unit box where observing one more axis at its floor lowers the logit."""
+    return coupling_table(spark).where(F.col("high") < F.col("low") - tolerance)
+
+
+def coupling_table(spark) -> DataFrame:
+    """Each vertex of the unit box with its logit before (low) and after (high) one more axis is observed at its floor."""
     def bit(k: int) -> Column:
         return F.shiftright("id", k).bitwiseAND(F.lit(1)) == 1
 
@@ -160,6 +165,6 @@ def coupling_violations(spark, tolerance: float = 1e-9) -> DataFrame:
         keys = ["x1_d", "x2_text_d", "x3_d", "has_distinctive_b", "figure"]
         less = score(base.withColumns({"x2_whole": a2, "x4": a4})).select(*keys, F.col("logit").alias("low"))
         more = score(base.withColumns({"x2_whole": b2, "x4": b4})).select(*keys, F.col("logit").alias("high"))
-        part = less.join(more, keys).where(F.col("high") < F.col("low") - tolerance).select(*keys, F.lit(low).alias("lower"), F.lit(high).alias("upper"), "low", "high")
+        part = less.join(more, keys).select(*keys, F.lit(low).alias("lower"), F.lit(high).alias("upper"), "low", "high")
         found = part if found is None else found.unionByName(part)
     return found

@@ -38,13 +38,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _TOPK_SQL = """
 WITH s AS (SELECT q.vec_id AS query_id, m.vec_id AS id, round(CAST(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])) AS DOUBLE), 6) AS score
-  FROM embeddings q, embeddings m WHERE q.vec_id < 5),
+  FROM embeddings q, embeddings m WHERE q.vec_id % 100 = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 """
 
 
 def _topk(spark, sf_dir, k=20):
-    """Queries are all rows whose id is divisible by 100; the SQL still has the first five ids."""
+    """Queries are all rows whose id is divisible by 100, against all rows."""
     e = read(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.vector_topk(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), k)
@@ -112,7 +112,7 @@ def centroid_direction(spark, sf_dir):
 
 # --- code sets ---------------------------------------------------------------
 
-_SETS_SQL = "WITH s AS (SELECT DISTINCT l.l_suppkey AS k, p.p_brand AS code FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey WHERE l.l_suppkey <= 60), n AS (SELECT k, count(*) AS size FROM s GROUP BY k)\n"
+_SETS_SQL = "WITH s AS (SELECT DISTINCT l.l_suppkey AS k, p.p_brand AS code FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey), n AS (SELECT k, count(*) AS size FROM s GROUP BY k)\n"
 
 
 def _brand_sets(spark, sf_dir):
@@ -302,8 +302,8 @@ def dataset_header(spark, sf_dir):
 
 @query("SELECT p_type AS kind, p_size >= 25 AS large, count(*) AS n, grouping_id(p_type, p_size >= 25) AS level FROM part GROUP BY GROUPING SETS ((p_type, p_size >= 25), (p_type), ())")
 def backfill_status(spark, sf_dir):
-    read(spark, sf_dir, "part").withColumn("large", F.col("p_size") >= 25).createOrReplaceTempView("_parts")
-    return spark.sql("SELECT p_type AS kind, large, count(*) AS n, CAST(grouping_id(p_type, large) AS BIGINT) AS level FROM _parts GROUP BY GROUPING SETS ((p_type, large), (p_type), ())")
+    p = read(spark, sf_dir, "part").select(F.col("p_type").alias("kind"), (F.col("p_size") >= 25).alias("large"))
+    return p.groupingSets([["kind", "large"], ["kind"], []], "kind", "large").agg(F.count("*").alias("n"), F.grouping_id("kind", "large").cast("bigint").alias("level"))
 
 
 @query(
@@ -326,9 +326,10 @@ def full_reconcile(spark, sf_dir):
     return merge.reconcile(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_join(spark, sf_dir):
-    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
+    """Customers without a kind of order."""
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
 
 
@@ -404,14 +405,17 @@ def round_robin_month(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS in_day,
- row_number() OVER (PARTITION BY strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS in_month FROM events)
-SELECT event_id, day, CAST(in_day AS INTEGER) AS in_day, CAST(in_month AS INTEGER) AS in_month, in_day <= 20 AND in_month <= 400 AS allowed FROM e"""
+    """WITH RECURSIVE c AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m') AS month, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT n, event_id, day, month, 0 AS used_day, 0 AS used_month FROM c WHERE n = 1
+  UNION ALL SELECT c.n, c.event_id, c.day, c.month, CASE WHEN c.day <> r.day THEN 0 ELSE r.used_day + (r.used_month < 300 AND r.used_day < 20)::INT END,
+   CASE WHEN c.month <> r.month THEN 0 ELSE r.used_month + (r.used_month < 300 AND r.used_day < 20)::INT END FROM r JOIN c ON c.n = r.n + 1)
+SELECT event_id, day, month, used_month < 300 AND used_day < 20 AS allowed, CASE WHEN used_month >= 300 THEN 'month' WHEN used_day >= 20 THEN 'day' END AS denied_by FROM r"""
 )
 def quota_month_day(spark, sf_dir):
+    """The oracle replays the calls one by one."""
     from emberloom.streaming import quota
 
-    return quota.batch_quota(read(spark, sf_dir, "events"), 20, 400)
+    return quota.batch_quota(read(spark, sf_dir, "events"), 20, 300)
 
 
 @query("SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS last_user_turn FROM conversations")
@@ -559,11 +563,9 @@ def confusion(spark, sf_dir):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 4) AS mean, grouping_id(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())")
 def grouping_report(spark, sf_dir):
-    read(spark, sf_dir, "lineitem").createOrReplaceTempView("_items")
-    return spark.sql(
-        "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 4) AS mean, CAST(grouping_id(l_returnflag, l_linestatus) AS BIGINT) AS level "
-        "FROM _items GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())"
-    )
+    flag, status = "l_returnflag", "l_linestatus"
+    cube = read(spark, sf_dir, "lineitem").select(flag, status, "l_discount").cube(flag, status)
+    return cube.agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 4).alias("mean"), F.grouping_id(flag, status).cast("bigint").alias("level"))
 
 
 _CUTS_SQL = " + ".join(f"(u >= {c})::INT" for c in evaluation.POISSON_CUTS)
@@ -571,7 +573,7 @@ _CUTS_SQL = " + ".join(f"(u >= {c})::INT" for c in evaluation.POISSON_CUTS)
 
 @query(
     _SCORED_SQL
-    + f""", r AS (SELECT source, range AS replicate, CAST(('0x' || substr(md5('0:' || range || ':' || source), 1, 13)) AS BIGINT) / CAST(pow(16, 13) AS DOUBLE) AS u FROM (SELECT DISTINCT source FROM s), range(50)),
+    + f""", r AS (SELECT source, range AS replicate, CAST(('0x' || substr(md5('0:' || range || ':' || source), 1, 13)) AS BIGINT) / CAST(pow(16, 13) AS DOUBLE) AS u FROM (SELECT DISTINCT source FROM s), range(1000)),
 t AS (SELECT source, replicate, {_CUTS_SQL} AS times FROM r),
 rb AS (SELECT replicate, score, sum(CASE WHEN y = 1 THEN times ELSE 0 END) AS pos, sum(CASE WHEN y = 0 THEN times ELSE 0 END) AS neg FROM s JOIN t USING (source) WHERE times > 0 GROUP BY ALL),
 rf AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM rb),
@@ -579,7 +581,7 @@ ra AS (SELECT replicate, sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg))
 SELECT count(*) AS replicates, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM ra"""
 )
 def bootstrap_interval(spark, sf_dir):
-    found = evaluation.interval(evaluation.bootstrap_auc(_scored(spark, sf_dir), "source", 50))
+    found = evaluation.interval(evaluation.bootstrap_auc(_scored(spark, sf_dir), "source", 1000))
     return found.select("replicates", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -755,9 +757,32 @@ def overall_grade(spark, sf_dir):
     return found.select("q", "overall_grade", "pattern", F.round("max_p", 6).alias("max_p"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+def _coupling_sql() -> str:
+    """Logits of both blocks at each vertex, by plain arithmetic from the coefficients."""
+    def logit(key: str, image: str, goods: str) -> str:
+        icpt, (w1, w2, w3, wn, wt, wx, wi, wf, wg) = risk.BLOCKS[key]
+        return (
+            f"round({icpt} + {w1} * a + {w2} * b + {w3} * c + {wn} * nd + {wt} * (CASE WHEN figure THEN 0 ELSE a END) + {wx} * a * nd"
+            f" + {wi} * {image} + {wf} * (CASE WHEN figure THEN {image} ELSE 0 END) + {wg} * {goods}, 6)"
+        )
+
+    steps = [("base", "x2_whole", "0", "0", risk.IMAGE_FLOOR, "0"), ("base", "x4", "0", "0", "0", risk.GOODS_FLOOR)]
+    for v in ("0.0", "1.0"):
+        steps += [("x2_whole", "x2_whole+x4", v, "0", v, risk.GOODS_FLOOR), ("x4", "x2_whole+x4", "0", v, risk.IMAGE_FLOOR, v)]
+    grid = """WITH v AS (SELECT a, b, c, d AS has_distinctive_b, f AS figure, CASE WHEN d THEN 0 ELSE 1 END AS nd FROM (VALUES (0.0), (1.0)) t1(a), (VALUES (0.0), (1.0)) t2(b), (VALUES (0.0), (1.0)) t3(c),
+ (VALUES (true), (false)) t4(d), (VALUES (true), (false)) t5(f))"""
+    parts = [
+        f"SELECT CAST(a AS DOUBLE) AS x1_d, CAST(b AS DOUBLE) AS x2_text_d, CAST(c AS DOUBLE) AS x3_d, has_distinctive_b, figure, '{lo}' AS lower, '{up}' AS upper,"
+        f" CAST({logit(lo, i2, g2)} AS DOUBLE) AS low, CAST({logit(up, i3, g3)} AS DOUBLE) AS high FROM v"
+        for lo, up, i2, g2, i3, g3 in steps
+    ]
+    return grid + "\n" + "\nUNION ALL ".join(parts)
+
+
+@query(_coupling_sql())
 def coupling_vertices(spark, sf_dir):
-    return risk.coupling_violations(spark).agg(F.count("*").alias("violations"))
+    t = risk.coupling_table(spark)
+    return t.select(*[c for c in t.columns if c not in ("low", "high")], F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query()
@@ -878,13 +903,14 @@ def month_range(spark, sf_dir):
 
 
 @query(
-    """SELECT vec_id, CASE WHEN s < 0.45 THEN 'low' WHEN s < 0.55 THEN 'weak' WHEN s < 0.75 THEN 'possible' ELSE 'strong' END AS band FROM (
- SELECT e.vec_id, round(CAST(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])) AS DOUBLE), 6) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) z)"""
+    """SELECT query_id, vec_id, CASE WHEN s < 0.45 THEN 'low' WHEN s < 0.55 THEN 'weak' WHEN s < 0.75 THEN 'possible' ELSE 'strong' END AS band FROM (
+ SELECT z.vec_id AS query_id, e.vec_id, round(CAST(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])) AS DOUBLE), 6) AS s FROM embeddings e, embeddings z WHERE z.vec_id % 100 = 0)"""
 )
 def similarity_bands(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    zero = e.where("vec_id = 0").select(F.col("embedding").alias("z"))
-    return e.crossJoin(F.broadcast(zero)).select("vec_id", vectors.similarity_band(F.round(vectors.dot("embedding", "z"), 6)).alias("band"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = retrieval.against_all(q, e, F.round(vectors.dot("embedding", "q"), 6))
+    return scored.select("query_id", "vec_id", vectors.similarity_band(F.col("score")).alias("band"))
 
 
 @query(

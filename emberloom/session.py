@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def use_checkpoint_dir(spark: SparkSession) -> str:
+    """Checkpoints go to the folder that spark.checkpoint.dir names; only a local session may go without and gets a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="emberloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def local_session(cores: int | None = None, app: str = "emberloom", **conf: str) -> SparkSession:
     """A local session with UTC timestamps, AQE and few shuffle partitions.
 
