@@ -1,38 +1,57 @@
 """Main text of web pages by structure and nearest-URL page differencing.
 
-A page is scanned once into text lines (one per block), each marked as noise
-(inside a menu, footer, advert ...), main (inside an article) or free. Pages are
-dealt to ranges of (host, path) and sorted there, so that the page with the
-nearest URL of the same host is a neighbour in the stream; the two pages' lines
-are aligned by their longest common subsequence and the shared ones deleted.
-
-Differencing alone would delete articles that a site serves under two URLs and
-passages that articles share. Lines inside a marked article are therefore kept,
-and a page of which nothing would be left keeps its free lines. End tags that
-HTML lets a page leave out (of head, p, list items, table parts and options) are
-supplied where the element ends.
+A page is scanned once into text lines (one per block), each marked: noise (in
+a menu, footer, advert ...), suspect (in an element whose class only hints at
+noise, such as ``related-posts`` or ``search-box``), free, or the same two
+inside an article. Pages are dealt to ranges of (host, path, id) and sorted
+there, so that the pages with the nearest URLs of the same host are neighbours
+in the stream; the first and last pages of neighbouring ranges meet in a second
+small exchange, so that the answer does not depend on how the ranges are cut.
+A page's lines are aligned with each neighbour's by their longest common
+subsequence, and the alignment decides:
+
+* on a page without an article, lines shared with the nearest page that is not
+  a copy go; if nothing would be left, they stay;
+* suspect lines go if either neighbour has them, and stay otherwise;
+* inside an article, where two pages may share passages or a site may serve one
+  article under two URLs, a line goes if both neighbours have it and neither
+  shares half of the article with it.
+
+End tags that HTML lets a page leave out (of head, p, list items, table parts
+and options) are supplied where the element ends. Class, role and id count only
+as whole names or by a plain first part (``ad-slot``, ``comment-list``); they
+never judge a heading, and a compound id judges nothing.
 
 Defined results: null and empty html gives empty text; a null or odd URL is of
-the host "" or compares by its whole text; repeated pages are answered each;
-other columns are ignored; an empty table gives no rows.
+the host "" or compares by its whole text; repeated pages are answered each, and
+are copies of each other; pages of equal URL stand in the order of id, then of
+their text; a page of any length is scanned in linear time and aligned in time
+by lines times lines over the machine's big-integer width; other columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left, bisect_right
+import zlib
+from bisect import bisect_right
 from collections import defaultdict
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NOISE, FREE, MAIN = 0, 1, 2
-#: Keys sampled for each range of URLs, to set the ranges' ends.
-KEYS_PER_RANGE = 20
-#: Ranges for each shuffle partition.
-RANGES = 4
+NOISE, FREE, MAIN, SUSPECT, SUSPECT_MAIN = range(5)
+#: Bytes of html in one range of URLs, about, and most ranges.
+RANGE_BYTES = 32_000_000
+RANGES = 50_000
+#: Keys drawn for each range, to set the ranges' ends, and the longest URL that sets one.
+KEYS_PER_RANGE = 8
+KEY_CHARS = 500
+#: Share of an article's characters from which a neighbour with the same lines is a version of it.
+VERSION = 0.5
 
 #: Elements whose content is never text of the page.
 SKIPPED = frozenset("script style template textarea title iframe object select option button noscript svg canvas audio video datalist head".split())
@@ -40,12 +59,16 @@ SKIPPED = frozenset("script style template textarea title iframe object select o
 NOISE_TAGS = frozenset("nav footer aside form menu dialog".split())
 #: Elements that hold the article.
 MAIN_TAGS = frozenset("article main".split())
-#: Words of class, id and role names that mark noise.
-NOISE_WORDS = frozenset(
+#: Names of class, role or id that mark noise.
+NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar footer masthead cookie cookies consent notice notices popup modal overlay newsletter subscribe share sharing social related "
-    "comment comments disqus reply replies toolbar pagination contentinfo complementary search alert".split()
+    "comment comments commentlist disqus reply replies toolbar pagination contentinfo complementary search alert".split()
 )
+#: First parts of compound class names that mark noise too.
+NOISE_PARTS = frozenset("ad ads advert advertisement sponsor sponsored menu nav navbar breadcrumb breadcrumbs sidebar cookie comment comments newsletter share pagination".split())
+#: Elements that names never judge.
+UNJUDGED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a line.
@@ -90,26 +113,74 @@ _BOUNDS = {t: _within(t) for t in frozenset(ENDED_BY) | _ENDERS}
 #: Elements that an inline element's end tag does not close.
 _HOLDERS = BLOCKS | {"td", "th", "body"}
 
-_MARKUP = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?P<odd>/?[a-zA-Z][^>]*)>"
-    r"|<[!?][^>]*>",
-    re.S,
-)
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What may stand in a tag, without going back over it.
+_ATTRIBUTES = re.compile(r"(?>[^>\"']+|\"[^\"]*\"|'[^']*')*")
+_ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
 
 
+def _judged(attrs: str) -> int | None:
+    """NOISE or SUSPECT if an element's names say so."""
+    found = None
+    for m in _ATTRIBUTE.finditer(attrs):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        for name in [value.strip()] if m[1].lower() == "id" else value.split():
+            if name in NOISE_NAMES:
+                return NOISE
+            if m[1].lower() != "id":
+                parts = re.split("[-_]+", name)
+                if parts[0] in NOISE_PARTS:
+                    return NOISE
+                if not NOISE_NAMES.isdisjoint(parts):
+                    found = SUSPECT
+    return found
+
+
 def _role(name: str, attrs: str, inside_main: bool) -> int | None:
     """What an element makes of its content, if it makes a difference."""
     if name in SKIPPED or name in NOISE_TAGS or (name == "header" and not inside_main):
         return NOISE
-    if attrs and name not in ("html", "body", "main"):
-        words = {w for m in _NAMES.finditer(attrs) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-        if words & NOISE_WORDS:
-            return NOISE
-    return MAIN if name in MAIN_TAGS else None
+    judged = _judged(attrs) if attrs and name not in UNJUDGED else None
+    return judged if judged is not None else MAIN if name in MAIN_TAGS else None
+
+
+def _tags(page: str):
+    """(text before, closing, name, attributes) of each tag, and at the end (text, None, "", ""); jumps are sent back.
+
+    A quote that is never closed makes all later tags end at their first ">".
+    """
+    at = text_from = 0
+    plain = False
+    last = page.rfind(">")
+    while True:
+        begin = page.find("<", at)
+        if begin >= 0 and page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            yield page[text_from:begin], None, "", ""
+            at = text_from = end + 3 if end >= 0 else len(page)
+            continue
+        if begin < 0 or begin > last:
+            yield page[text_from:], None, "", ""
+            return
+        if page[begin + 1 : begin + 2] in ("!", "?"):
+            yield page[text_from:begin], None, "", ""
+            at = text_from = page.find(">", begin) + 1
+            continue
+        m = _TAG.match(page, begin)
+        if m is None:
+            at = begin + 1
+            continue
+        end = -1 if plain else _ATTRIBUTES.match(page, m.end()).end()
+        if not 0 <= end < len(page) or page[end] != ">":
+            plain = True
+            end = page.find(">", m.end())
+        jump = yield page[text_from:begin], m[1] == "/", m[2].lower(), page[m.end() : end]
+        at = text_from = end + 1
+        if jump:
+            closed = jump.search(page, at)
+            at = text_from = closed.end() if closed else len(page)
+            yield "", None, "", ""
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
@@ -118,6 +189,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     now: list[str] = []
     open_: list[tuple[str, int | None]] = []  # name, mark
     count: dict[str, int] = defaultdict(int)  # of the names in open_
+    marks = [0] * 5  # of the marks in open_
     mark = FREE
 
     def end_line():
@@ -137,9 +209,10 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         del open_[k:]
         for name, _ in gone:
             count[name] -= 1
-        if changes:
-            kinds = {m for _, m in open_}
-            mark = NOISE if NOISE in kinds else MAIN if MAIN in kinds else FREE
+        for _, m in gone:
+            if m is not None:
+                marks[m] -= 1
+        mark = NOISE if marks[NOISE] else (SUSPECT_MAIN if marks[MAIN] else SUSPECT) if marks[SUSPECT] else MAIN if marks[MAIN] else FREE
 
     def end_before(name: str):
         """End what the start of an element ends."""
@@ -164,25 +237,19 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             if open_[k:] == [] or open_[k][0] in _HOLDERS or open_[k][0] in SKIPPED:
                 return
 
-    page, at = page or "", 0
-    while at < len(page):
-        m = _MARKUP.search(page, at)
-        if m is None:
-            if not page[at:].isspace() and open_ and open_[-1][0] == "head":
-                end_from(len(open_) - 1)
-            now.append(page[at:])
+    tags = _tags(page or "")
+    jump = None
+    while True:
+        try:
+            before, closing, name, attrs = tags.send(jump)
+        except StopIteration:
             break
-        if m.start() > at:
-            if open_ and open_[-1][0] == "head" and not page[at : m.start()].isspace():  # text ends a head
+        jump = None
+        if before:
+            if open_ and open_[-1][0] == "head" and not before.isspace():  # text ends a head
                 end_from(len(open_) - 1)
-            now.append(page[at : m.start()])
-        at = m.end()
-        if m["odd"] is not None:
-            closing, rest = m["odd"].startswith("/"), m["odd"].lstrip("/")
-            name, attrs = re.split(r"[\s/>]", rest, maxsplit=1)[0].lower(), ""
-        elif m["name"] is not None:
-            closing, name, attrs = bool(m["close"]), m["name"].lower(), m["attrs"]
-        else:
+            now.append(before)
+        if closing is None:
             continue
         if name == "br":
             now.append(" ")
@@ -207,15 +274,13 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
         if name in _RAW_END:
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
+            jump = _RAW_END[name]
             continue
-        role = _role(name, attrs, mark == MAIN)
-        if role == MAIN and mark == MAIN:
-            role = None
+        role = _role(name, attrs, marks[MAIN] > 0)
         if role is not None:
             end_line()
-            mark = NOISE if NOISE in (role, mark) else MAIN
+            marks[role] += 1
+            mark = NOISE if marks[NOISE] else (SUSPECT_MAIN if marks[MAIN] else SUSPECT) if marks[SUSPECT] else MAIN if marks[MAIN] else FREE
         open_.append((name, role))
         count[name] += 1
     end_line()
@@ -223,43 +288,72 @@ def lines(page: str | None) -> list[tuple[str, int]]:
 
 
 def common_lines(a: list[str], b: list[str]) -> list[int]:
-    """Places in a of a longest common subsequence with b (Hunt and Szymanski)."""
+    """Places in a of a longest common subsequence with b.
+
+    A bit for each line of b tells where the length grows; a row of bits
+    follows from the one before by a few operations on whole integers. Of
+    the rows only every k-th is kept, and what lies between is made again
+    when the way back passes there, so memory grows with the square root of a.
+    """
     lo = 0
     while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
         lo += 1
     end_a, end_b = len(a), len(b)
     while end_a > lo and end_b > lo and a[end_a - 1] == b[end_b - 1]:
         end_a, end_b = end_a - 1, end_b - 1
-    where: dict[str, list[int]] = defaultdict(list)
-    for j in range(end_b - 1, lo - 1, -1):
-        where[b[j]].append(j)
-    tails: list[int] = []
-    links: list[tuple] = []
-    for i in range(lo, end_a):
-        for j in where.get(a[i], ()):  # from the right, so that one line is used once
-            k = bisect_left(tails, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(link)
-            else:
-                tails[k] = j
-                links[k] = link
-    middle, link = [], links[-1] if links else None
-    while link:
-        middle.append(link[0])
-        link = link[1]
+    n, m = end_a - lo, end_b - lo
+    where: dict[str, int] = defaultdict(int)
+    for j in range(m):
+        where[b[lo + j]] |= 1 << j
+    lines_a = [where.get(x, 0) for x in a[lo:end_a]]
+    every = max(1, int(n**0.5))
+    full = (1 << m) - 1
+
+    def rows(row: int, begin: int, end: int) -> list[int]:
+        """The bits after lines begin to end, given those before: 0 where the length grows."""
+        out = []
+        for hits in lines_a[begin:end]:
+            used = row & hits
+            row = (row + used | row - used) & full
+            out.append(row)
+        return out
+
+    kept = [full]
+    for begin in range(0, n, every):
+        kept.append((rows(kept[-1], begin, begin + every) or [kept[-1]])[-1])
+    middle = []
+    i, j = n, m
+    while i and j:
+        begin = (i - 1) // every * every
+        part = [kept[begin // every], *rows(kept[begin // every], begin, i)]
+        while i > begin and j:
+            if part[i - begin] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if part[i - begin] >> (j - 1) & 1:
+                j -= 1
+                middle.append(lo + i)
     return [*range(lo), *reversed(middle), *range(end_a, len(a))]
 
 
-def main_text(own: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
-    """A page's text given its lines and those of the page with the nearest URL."""
-    shared = set(common_lines([t for t, _ in own], [t for t, _ in neighbour])) if neighbour else set()
-    if any(mark == MAIN for _, mark in own):
-        return "\n".join(t for t, mark in own if mark == MAIN)
-    free = [k for k, (_, mark) in enumerate(own) if mark == FREE]
-    left = [k for k in free if k not in shared] or free
-    return "\n".join(own[k][0] for k in left)
+def main_text(own: list[tuple[str, int]], *neighbours: list[tuple[str, int]] | None) -> str:
+    """A page's text given its lines and those of its neighbours, the one with the nearest URL first."""
+    own = [x for x in own if x[1] != NOISE]
+    texts = [t for t, _ in own]
+    other = [[t for t, mark in x if mark != NOISE] for x in neighbours if x]
+    shared = [set(common_lines(texts, x)) for x in other if x != texts]  # copies tell nothing
+    either = set().union(*shared)
+    article = [k for k, (_, mark) in enumerate(own) if mark in (MAIN, SUSPECT_MAIN)]
+    if article:
+        size = sum(len(texts[k]) for k in article)
+        evidence = [s for s in shared if sum(len(texts[k]) for k in article if k in s) < VERSION * size]
+        both = evidence[0] & evidence[1] if len(evidence) == 2 else set()
+        kept = [k for k in article if k not in (either if own[k][1] == SUSPECT_MAIN else both)]
+        return "\n".join(texts[k] for k in kept)
+    sure = [k for k in range(len(own)) if own[k][1] == FREE or k not in either]
+    kept = [k for k in sure if not shared or k not in shared[0]]
+    return "\n".join(texts[k] for k in kept or sure)
 
 
 def url_key(url: str | None) -> tuple[str, str]:
@@ -275,75 +369,117 @@ def _same_start(a: str, b: str) -> int:
 
 
 _LINE = pa.struct([("text", pa.string()), ("mark", pa.int8())])
-_PARSED = pa.schema([("range", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.list_(_LINE))])
-_PARSED_DDL = "range int, host string, path string, page_id bigint, url string, lines array<struct<text:string,mark:tinyint>>"
+_LINES_DDL = "array<struct<text:string,mark:tinyint>>"
+_PARSED = {"range": pa.int32(), "host": pa.string(), "path": pa.string(), "page_id": pa.int64(), "tie": pa.int64(), "url": pa.string(), "lines": pa.list_(_LINE)}
+_PARSED_DDL = f"range int, host string, path string, page_id bigint, tie bigint, url string, lines {_LINES_DDL}"
+_PAGE_DDL = f"struct<host:string,path:string,page_id:bigint,url:string,lines:{_LINES_DDL}>"
+_ANSWER = {"page_id": pa.int64(), "url": pa.string(), "text": pa.string(), "n_chars": pa.int64()}
+_ANSWER_DDL = "page_id bigint, url string, text string, n_chars bigint"
+_FIRST_ID = -(2**63)
+
+
+def _key(url: str | None, page_id: int | None) -> tuple:
+    return (*url_key(url), _FIRST_ID if page_id is None else page_id)
+
+
+def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _stream(batches):
+    """(range, page) in order; a page is (host, path, id, url, lines)."""
+    for batch in batches:
+        ranges, hosts, paths, ids, urls = (batch.column(c).to_pylist() for c in ("range", "host", "path", "page_id", "url"))
+        for k, x in enumerate(batch.column("lines")):
+            yield ranges[k], (hosts[k], paths[k], ids[k], urls[k], [(y["text"], y["mark"]) for y in x.as_py() or []])
+
+
+def _settle(before, now, after) -> tuple:
+    near = [x for x in (before, after) if x is not None and x[0] == now[0]]
+    near.sort(key=lambda x: -_same_start(x[1], now[1]))  # of equally near ones the one before
+    text = main_text(now[4], *[x[4] for x in near])
+    return now[2], now[3], text, len(text)
+
+
+def _ends(rows: DataFrame, ranges: int) -> list[tuple]:
+    """Ends of the ranges, from a hash sample of keys whose size depends on their number alone.
+
+    Each range holds KEYS_PER_RANGE of the drawn pages at least, so none is short of two pages.
+    """
+    wanted = ranges * KEYS_PER_RANGE
+    n = max(1, rows.count())
+    drawn = rows.where((F.length(F.coalesce("url", F.lit(""))) <= KEY_CHARS) & (F.pmod(F.xxhash64("url", "page_id", F.lit(5)), F.lit(n)) < wanted))
+    keys = sorted({_key(r["url"], r["page_id"]) for r in drawn.select("url", "page_id").distinct().collect()})
+    step = max(KEYS_PER_RANGE, -(-len(keys) // ranges))
+    return keys[step : len(keys) - KEYS_PER_RANGE + 1 : step]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each page row."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # ends of the ranges: a sample of a fixed number of keys for each, from the URL column alone
-    draw = rows.select("url").orderBy(F.xxhash64("url", F.monotonically_increasing_id())).limit(KEYS_PER_RANGE * RANGES * n)
-    keys = sorted({url_key(r["url"]) for r in draw.collect()})
-    ends = spark.sparkContext.broadcast(keys[KEYS_PER_RANGE :: KEYS_PER_RANGE])
+    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(RANGES, -(-size // RANGE_BYTES)))
+    ends = spark.sparkContext.broadcast(_ends(rows, ranges))
+    last = len(ends.value)
 
     def parse(batches):
         for batch in batches:
-            urls, texts = batch.column(1).to_pylist(), batch.column(2)
-            own = [url_key(u) for u in urls]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([bisect_right(ends.value, k) for k in own], pa.int32()),
-                    pa.array([h for h, _ in own], pa.string()),
-                    pa.array([p for _, p in own], pa.string()),
-                    batch.column(0).cast(pa.int64()),
-                    pa.array(urls, pa.string()),
-                    pa.array([[{"text": t, "mark": k} for t, k in lines(x.as_py())] for x in texts], pa.list_(_LINE)),
-                ],
-                schema=_PARSED,
-            )
-
-    dealt = rows.mapInArrow(parse, _PARSED_DDL).repartition(n, "range").sortWithinPartitions("range", "host", "path", "page_id")
-
-    def stream(batches):
-        for batch in batches:
-            ranges, hosts, paths, ids, urls = (batch.column(k).to_pylist() for k in range(5))
-            for k in range(batch.num_rows):
-                own = batch.column(5)[k].as_py() or []
-                yield ranges[k], hosts[k], paths[k], ids[k], urls[k], [(x["text"], x["mark"]) for x in own]
-
-    def compare(batches):
+            ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = []
+            for page_id, url, x in zip(ids, urls, batch.column(2), strict=True):
+                key, page = _key(url, page_id), x.as_py() or ""
+                own = [{"text": t, "mark": k} for t, k in lines(page) if k != NOISE]
+                out.append((bisect_right(ends.value, key), key[0], key[1], page_id, zlib.crc32(page.encode("utf-8", "replace")), url, own))
+            yield _batch(out, _PARSED)
+
+    dealt = rows.mapInArrow(parse, _PARSED_DDL).repartitionById(last + 1, "range").sortWithinPartitions("range", "host", "path", "page_id", "tie")
+
+    def inner(batches):
+        """Answers of all pages but a range's first and last, whose other neighbours stand elsewhere."""
         before = now = None
-        out: list[tuple] = []
-
-        def settle(before, now, after):
-            near = [x for x in (before, after) if x is not None and x[:2] == now[:2]]
-            best = max(near, key=lambda x: _same_start(x[2], now[2]), default=None)
-            return now[3], now[4], main_text(now[5], best[5] if best else None)
-
-        def flush():
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in out], pa.int64()),
-                    pa.array([r[1] for r in out], pa.string()),
-                    pa.array([r[2] for r in out], pa.string()),
-                    pa.array([len(r[2]) for r in out], pa.int64()),
-                ],
-                names=["page_id", "url", "text", "n_chars"],
-            )
-
-        for after in stream(batches):
-            if now is not None:
-                out.append(settle(before, now, after))
+        of, out = None, []
+        for r, page in chain(_stream(batches), [(None, None)]):
+            if now is not None and (before is not None or of == 0) and (r == of or of == last):
+                out.append(_settle(before, now, page if r == of else None))
                 if len(out) >= 500:
-                    yield flush()
-                    out.clear()
-            before, now = now, after
-        if now is not None:
-            out.append(settle(before, now, None))
-        yield flush()
-
-    made = dealt.mapInArrow(compare, "page_id bigint, url string, text string, n_chars bigint")
+                    yield _batch(out, _ANSWER)
+                    out = []
+            before, now, of = (now if r == of else None), page, r
+        yield _batch(out, _ANSWER)
+
+    def edges(batches):
+        """(seam, side, pages) of a range's first two and last two pages; seam k is between ranges k and k + 1."""
+        held: list = []
+        of, n, out = None, 0, []
+
+        def seam(k: int, side: int, pages: list) -> tuple:
+            return k, side, [dict(zip(("host", "path", "page_id", "url", "lines"), (*p[:4], [{"text": t, "mark": m} for t, m in p[4]]))) for p in pages]
+
+        for r, page in chain(_stream(batches), [(None, None)]):
+            if r != of and of is not None and of < last:
+                out.append(seam(of, 0, held))
+            if r != of:
+                held, of, n = [], r, 0
+            if page is not None:
+                held = [*held[-1:], page]
+                n += 1
+                if n == 2 and r:
+                    out.append(seam(r - 1, 1, held))
+        yield _batch(out, {"seam": pa.int32(), "side": pa.int8(), "pages": pa.list_(pa.struct([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.list_(_LINE))]))})
+
+    def join(batches):
+        for batch in batches:
+            out = []
+            for x in batch.column("pages").to_pylist():
+                (q, p), (a, b) = ([(g["host"], g["path"], g["page_id"], g["url"], [(y["text"], y["mark"]) for y in g["lines"]]) for g in x[side]] for side in ("low", "high"))
+                out += [_settle(q, p, a), _settle(p, a, b)]
+            yield _batch(out, _ANSWER)
+
+    made = dealt.mapInArrow(inner, _ANSWER_DDL)
+    if last:
+        sides = dealt.mapInArrow(edges, f"seam int, side tinyint, pages array<{_PAGE_DDL}>").groupBy("seam")
+        met = sides.agg(F.struct(F.max(F.when(F.col("side") == 0, F.col("pages"))).alias("low"), F.max(F.when(F.col("side") == 1, F.col("pages"))).alias("high")).alias("pages"))
+        made = made.unionByName(met.select("pages").mapInArrow(join, _ANSWER_DDL))
     return made.withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)

@@ -74,3 +74,81 @@ def test_end_tags_may_be_left_out():
     cells = [t for t, mark in ht.lines("<table><tr><td class=ad>a<tr><td>b<td class=ad>c<table><tr><td>d</table>e<tr><td>f</table>g") if mark == ht.FREE]
     assert cells == ["b", "f", "g"]
     assert [t for t, mark in ht.lines("<head><title>t</title>Text") if mark == ht.FREE] == ["Text"]
+
+
+def test_names_judge_no_part_of_an_article_by_chance():
+    page = (
+        '<article><h2 id="search-methods">Search</h2><section id="related-work"><p>Related</p></section><p id="social-history">Social</p>'
+        '<p class="notice-board">Board</p><div class="ad-slot">Buy</div><ol class="comment-list"><li>Nice</ol><div class="social-history">Kept</div></article>'
+    )
+    assert ht.main_text(ht.lines(page), None) == "Search\nRelated\nSocial\nBoard\nKept"
+
+
+def brute_settle(pages):
+    """Each page's text from all pages in order, by plain dynamic programming on the definition."""
+
+    def common(a, b):
+        t = [[()] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = (*t[i][j], i) if x == y else max(t[i][j + 1], t[i + 1][j], key=len)
+        return t[-1][-1]
+
+    rows = sorted((ht._key(u, i), h) for i, u, h in pages)
+    parsed = [[x for x in ht.lines(h) if x[1] != ht.NOISE] for _, h in rows]
+    out = {}
+    for k, ((host, path, i), _) in enumerate(rows):
+        own = [t for t, _ in parsed[k]]
+        near = [n for n in (k - 1, k + 1) if 0 <= n < len(rows) and rows[n][0][0] == host]
+        near.sort(key=lambda n: -ht._same_start(rows[n][0][1], path))
+        shared = [set(own[x] for x in common(own, [t for t, _ in parsed[n]])) for n in near if [t for t, _ in parsed[n]] != own]
+        main = [t for t, m in parsed[k] if m in (ht.MAIN, ht.SUSPECT_MAIN)]
+        if main:
+            size = sum(map(len, main))
+            strong = [s for s in shared if sum(len(t) for t in main if t in s) < size / 2]
+            both = strong[0] & strong[1] if len(strong) == 2 else set()
+            kept = [t for t, m in parsed[k] if m == ht.MAIN and t not in both or m == ht.SUSPECT_MAIN and not any(t in s for s in shared)]
+        else:
+            sure = [t for t, m in parsed[k] if m == ht.FREE or not any(t in s for s in shared)]
+            kept = [t for t in sure if not shared or t not in shared[0]] or sure
+        out[i] = "\n".join(kept)
+    return out
+
+
+def site():
+    """Pages whose lines are all different within a page, with shells by host, articles and suspect boxes."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(260):
+        host = rng.choice(["a.example", "b.example", "c.example"])
+        body = "".join(f"<p>Page {i % 200} line {k} {rng.randint(0, 3)}</p>" for k in range(rng.randint(1, 5)))
+        box = rng.choice(["", f'<div class="related-posts">See {rng.randint(0, 2)}</div>'])
+        body = f"<article>{body}{box}<div>Follow {host}</div></article>" if rng.random() < 0.4 else f"<div>{body}</div>{box}"
+        rows.append((i, f"http://{host}/{rng.choice('xyz')}/{rng.randint(0, 99)}", f"<div>Welcome to {host}</div>{body}<div>Contact {host} {rng.randint(0, 1)}</div>"))
+    return rows
+
+
+def test_answers_do_not_depend_on_partitions_and_equal_brute_force(spark, monkeypatch):
+    rows = site()
+    want = brute_settle(rows)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 2, 8, 32):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = {r["page_id"]: r["text"] for r in ht.extract(pages.repartition(3)).collect()}
+            assert got == want, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_long_and_hostile_pages_take_little_time():
+    import time
+
+    began = time.perf_counter()
+    lines = [f"<div>{'x' if k % 3 else 'y'}</div>" for k in range(60_000)]
+    a, b = ht.lines("".join(lines)), ht.lines("".join(lines[1::2] + lines[::3]))
+    assert len(ht.main_text(a, b)) > 0
+    for page in ('<a b="' * 200_000, "<a '>" * 200_000, "<!" * 500_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, "<p class=ad>" * 80_000 + "t", "<" * 1_000_000):
+        ht.lines(page)
+    assert time.perf_counter() - began < 30
