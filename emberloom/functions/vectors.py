@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: within a lambda an outer expression would be computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def doubles(v: Column | str) -> Column:
     return F.transform(F.col(v) if isinstance(v, str) else v, lambda x: x.cast("double"))
 
@@ -23,8 +28,8 @@ def norm(v: Column | str) -> Column:
 
 def unit(v: Column | str) -> Column:
     """L2-normalised vector; a zero vector stays as it is."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(doubles(v), lambda x: x / length)).otherwise(doubles(v))
+    own = doubles(v)
+    return let(norm(own), lambda n: F.when(n > 0, F.transform(own, lambda x: x / n)).otherwise(own))
 
 
 def is_unit(v: Column | str, tolerance: float = 1e-3) -> Column:

@@ -8,31 +8,11 @@ outcome; orders are cases of customers; events is a call log.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberloom.functions import codes, strings, vectors
 from emberloom.operators import corpus, evaluation, graph, merge, retrieval, risk, sampling
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from emberloom.plans.registry import ORACLES, QUERIES, query, read
 
 # --- vectors -----------------------------------------------------------------
 
@@ -933,3 +913,8 @@ def evidence_table(spark, sf_dir):
     return g.crossJoin(F.broadcast(total)).select(
         "tag", "received", "good", F.round(share, 6).alias("precision"), F.round(F.col("good") / F.col("total"), 6).alias("recall"), (share >= 0.49).alias("adopt"), (F.col("good") < 30).alias("shaky")
     )
+
+
+from emberloom.plans import case_queries, ingest_queries, report_queries, selection_queries  # noqa: E402, F401  they register their queries
+
+__all__ = ["ORACLES", "QUERIES"]
