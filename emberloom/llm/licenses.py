@@ -6,19 +6,23 @@ compared by cosine with notice templates; a file's own license is that of its
 best line at ``THRESHOLD`` or more. A template word that no line has weighs as
 much as the mean word of the corpus, or it would outgrow the seen words as the
 number of lines grows. A file whose name says that it holds the license of its
-directory is also compared as a whole. A file without a license of its own
+directory is also compared as a whole, with the whole license texts too. A file without a license of its own
 inherits that of the nearest ancestor directory which states one, found by
 joins on directory paths, one row for each directory.
 
 Only lines with one of a template's heaviest terms are compared: without them
 no cosine can reach the threshold (Cauchy-Schwarz), nor if it does not when all
-other words weigh 1, the least weight; so none is lost. Templates, their terms
+other words weigh 1, the least weight; so none is lost. That last bound is first
+taken over classes of about equal weight, which a line's words are counted in
+without looking at each template. Templates, their terms
 and the frequencies collected for those terms are of fixed size; the frequencies
 of other words stay distributed and are joined to the distinct lines compared.
 
 Defined results: null and empty texts have no license of their own, a null path
-lies in the root directory ""; ties of cosine and of statements go to the name
-that sorts first; every row is answered, repeated rows included.
+lies in the root directory ""; ties of cosine go to the earlier template and
+those of statements to the name that sorts first; texts of any length are read
+whole, line by line; every row is answered, repeated rows included; other
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .license_texts import TEXTS
 
 #: Cosine from which a line states a template's license.
 THRESHOLD = 0.8
@@ -72,6 +77,10 @@ def terms_of(text: str) -> list[str]:
 
 
 def vocabulary() -> list[str]:
+    return sorted({t for _, text in TEMPLATES + TEXTS for t in terms_of(text)})
+
+
+def line_vocabulary() -> list[str]:
     return sorted({t for _, text in TEMPLATES for t in terms_of(text)})
 
 
@@ -93,6 +102,15 @@ class Weights:
     def idf(self, count: Column) -> Column:
         return F.log((1 + F.lit(self.lines)) / (1 + count)) + 1
 
+    def classes(self) -> list[tuple[float, list[str]]]:
+        """The notices' terms by weight: the largest squared weight of each class, and its terms."""
+        out: list[tuple[float, list[str]]] = []
+        for t in sorted(line_vocabulary(), key=lambda t: (-self.squared[t], t)):
+            if not out or self.squared[t] < out[-1][0] * 0.75:
+                out.append((self.squared[t], []))
+            out[-1][1].append(t)
+        return out
+
     def norm(self, terms: list[str]) -> float:
         return math.sqrt(sum(self.squared[t] for t in terms))
 
@@ -124,32 +142,40 @@ def corpus_weights(frequency: DataFrame) -> Weights:
 
 
 def _squared(weights: Weights, terms: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in sorted(weights.squared.items()) for x in pair])
+    table = F.create_map(*[F.lit(x) for t in line_vocabulary() for x in (t, weights.squared[t])])
     return F.aggregate(F.array_sort(terms), F.lit(0.0), lambda acc, t: acc + F.element_at(table, t))
 
 
-def best_template(words: Column, others: Column, weights: Weights) -> Column:
-    """struct(score, license) of the template nearest to a vector of distinct words, whose words
-    outside the templates have the sum of squared weights others."""
-    known = F.array_intersect(words, _literal(vocabulary()))
-    norm = F.sqrt(_squared(weights, known) + others)
-    each = []
-    for k, (name, template) in enumerate(TEMPLATES):
-        own = terms_of(template)
-        dot = _squared(weights, F.array_intersect(known, _literal(own)))
-        # -k: of equal scores the earlier template
-        each.append(F.struct(F.round(dot / (norm * F.lit(weights.norm(own))), 9).alias("score"), F.lit(-k).alias("k"), F.lit(name).alias("license")))
-    best = F.array_max(F.array(*each))
-    return F.when(F.size(words) > 0, F.struct(best["score"].alias("score"), best["license"].alias("license")))
+def notice_bound(words: Column, weights: Weights) -> Column:
+    """The best cosine that distinct words could have with a notice if all other words had the least weight, 1."""
+    known = F.array_intersect(words, _literal(line_vocabulary()))
+    norm = F.sqrt(_squared(weights, known) + F.size(words) - F.size(known))
+    dots = [_squared(weights, F.array_intersect(known, _literal(terms_of(text)))) / F.lit(weights.norm(terms_of(text))) for _, text in TEMPLATES]
+    return F.when(F.size(words) > 0, F.greatest(*dots) / norm)
+
+
+def template_terms(spark, weights: Weights) -> DataFrame:
+    """(k, license, norm, term) of all templates, of fixed size; whole texts stand behind the notices."""
+    rows = [f"{k}|{name}|{weights.norm(terms_of(text))!r}|{t}" for k, (name, text) in enumerate(TEMPLATES + TEXTS) for t in terms_of(text)]
+    one = spark.range(1).select(F.explode(F.split(F.lit("\n".join(rows)), "\n")).alias("r")).select(F.split("r", r"\|").alias("c"))
+    return one.select(F.col("c")[0].cast("int").alias("k"), F.col("c")[1].alias("license"), F.col("c")[2].cast("double").alias("norm"), F.col("c")[3].alias("term"))
 
 
 def score_vectors(vectors: DataFrame, frequency: DataFrame, weights: Weights) -> DataFrame:
-    """Distinct words arrays -> words, option (score, license), by the corpus' frequencies of all their words."""
-    other = F.array_except("words", _literal(vocabulary()))
-    each = vectors.select("words", F.explode(F.when(F.size(other) > 0, other).otherwise(F.array(F.lit("")))).alias("term"))
-    weighed = each.join(frequency, "term").withColumn("w2", F.when(F.col("term") == "", 0.0).otherwise(F.pow(weights.idf(F.col("count")), 2)))
-    summed = weighed.groupBy("words").agg(F.aggregate(F.array_sort(F.collect_list("w2")), F.lit(0.0), lambda a, x: a + x).alias("others"))
-    return summed.select("words", best_template(F.col("words"), F.col("others"), weights).alias("option"))
+    """Distinct words arrays -> words and their best license (score, license) as a line and as a whole file, by the corpus' frequencies of all their words."""
+    each = vectors.select("words", F.explode("words").alias("term")).join(frequency, "term")
+    weighed = each.withColumn("w2", F.pow(weights.idf(F.col("count")), 2))
+
+    def total(w2):
+        return F.aggregate(F.array_sort(F.collect_list(w2)), F.lit(0.0), lambda a, x: a + x)
+
+    norms = weighed.groupBy("words").agg(F.sqrt(total("w2")).alias("own"))
+    met = weighed.join(F.broadcast(template_terms(vectors.sparkSession, weights)), "term")
+    dots = met.groupBy("words", "k", "license", "norm").agg(total("w2").alias("dot")).join(norms, "words")
+    # -k: of equal scores the earlier template
+    option = F.struct(F.round(F.col("dot") / (F.col("own") * F.col("norm")), 9).alias("score"), (-F.col("k")).alias("k"), "license")
+    best = dots.groupBy("words").agg(F.max(F.when(F.col("k") < len(TEMPLATES), option)).alias("line"), F.max(option).alias("whole"))
+    return best.select("words", *[F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.score").alias("score"), F.col(f"{c}.license").alias("license"))).alias(c) for c in ("line", "whole")])
 
 
 def _best(options: Column) -> Column:
@@ -168,23 +194,38 @@ def own_licenses(files: DataFrame, frequency: DataFrame, threshold: float = THRE
     named = files.select(
         "key", "path", "text", F.regexp_extract(F.coalesce("path", F.lit("")), r"^(.*)/[^/]*$", 1).alias("dir"), base.isin(*LICENSE_FILES).alias("names_directory")
     )
-    whole = F.when(F.col("names_directory") & F.col("text").isNotNull(), F.array("text")).otherwise(F.array())
-    units = F.concat(F.coalesce(some, F.array()), F.coalesce(whole, F.array()))
-    vectors = F.transform(units, lambda unit: F.array_sort(F.array_distinct(_terms(unit))))
+    whole = F.when(F.col("names_directory") & F.col("text").isNotNull(), F.array("text")).otherwise(F.array().cast("array<string>"))
+
+    def vector(unit):
+        return F.array_sort(F.array_distinct(_terms(unit)))
+
+    def has_room(words):
+        """Whether the notices' words could outweigh the others, by classes of weight."""
+
+        def counted(own):
+            return F.size(F.filter(words, lambda x: x.isin(own)))
+
+        known, most = F.lit(0), F.lit(0.0)
+        for w, own in weights.classes():
+            known, most = known + counted(own), most + w * counted(own)
+        return most * (1 / threshold**2 - 1) >= (F.size(words) - known) * (1 - 1e-9)
 
     def may_reach(words):
-        n = F.size(F.array_except(words, _literal(vocabulary())))
-        return best_template(words, n.cast("double"), weights)["score"] >= threshold - 1e-6
+        return notice_bound(words, weights) >= threshold - 1e-6
 
-    near = F.array_distinct(F.filter(vectors, may_reach))
-    kept = named.select(F.monotonically_increasing_id().alias("row"), "key", "path", "dir", "names_directory", near.alias("near"))
+    lines = F.filter(F.filter(F.transform(F.coalesce(some, F.array().cast("array<string>")), vector), has_room), may_reach)
+    units = F.concat(
+        F.transform(lines, lambda w: F.struct(w.alias("words"), F.lit(False).alias("whole"))), F.transform(whole, lambda t: F.struct(vector(t).alias("words"), F.lit(True).alias("whole")))
+    )
+    kept = named.select(F.monotonically_increasing_id().alias("row"), "key", "path", "dir", "names_directory", F.array_distinct(units).alias("near"))
     kept = materialise(kept, "license_lines")
-    each = kept.select("row", F.explode("near").alias("words"))
-    scored = score_vectors(each.select("words").distinct(), frequency, weights).where(F.col("option.score") >= threshold)
+    each = kept.select("row", F.explode("near").alias("unit")).select("row", "unit.words", "unit.whole")
+    scored = score_vectors(each.select("words").distinct(), frequency, weights)
     # a common line's rows are dealt over SALTS tasks
-    scored = scored.select("words", "option", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    scored = scored.select("words", F.col("line").alias("by_line"), F.col("whole").alias("by_whole"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     met = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(scored, ["words", "salt"])
-    own = met.groupBy("row").agg(_best(F.collect_list("option")).alias("own"))
+    option = F.when(F.col("whole"), F.col("by_whole")).otherwise(F.col("by_line"))
+    own = met.select("row", option.alias("option")).where(F.col("option.score") >= threshold).groupBy("row").agg(_best(F.collect_list("option")).alias("own"))
     return kept.join(own, "row", "left").select("key", "path", "dir", "names_directory", "own")
 
 
@@ -231,28 +272,29 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, every_statement: bool =
 
 
 def _oracle() -> str:
-    values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+    values = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(TEMPLATES + TEXTS))
     return f"""
 WITH t(k, license, text) AS (VALUES {values}),
 tt AS (SELECT DISTINCT k, license, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM t),
-files AS (SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM (
-  SELECT doc_id, CASE WHEN doc_id % 1000 = 0 THEN source WHEN doc_id % 100 = 0 THEN concat_ws('/', source, doc_id // 1000)
-    ELSE concat_ws('/', source, doc_id // 1000, doc_id // 100) END || '/' || doc_id || '.txt' AS path FROM documents)),
+files AS (SELECT doc_id, text, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM (
+  SELECT doc_id, text, CASE WHEN doc_id % 1000 = 0 THEN source WHEN doc_id % 100 = 0 THEN concat_ws('/', source, doc_id // 1000)
+    ELSE concat_ws('/', source, doc_id // 1000, doc_id // 100) END || CASE WHEN doc_id % 100 = 0 THEN '/LICENSE.' ELSE '/' END || doc_id || '.txt' AS path FROM documents)),
 l AS (SELECT doc_id, row_number() OVER () AS line_id, list_distinct(regexp_extract_all(lower(line), '{TERM}')) AS own
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
 n AS (SELECT count(*) AS n FROM l),
-e AS (SELECT doc_id, line_id, unnest(own) AS term FROM l),
-v AS (SELECT DISTINCT term FROM tt),
-df AS (SELECT term, count(*) AS c FROM e JOIN v USING (term) GROUP BY term),
-w AS (SELECT v.term, pow(ln((1 + n.n) / CAST(1 + coalesce(df.c, 0) AS DOUBLE)) + 1, 2) AS w2 FROM v LEFT JOIN df USING (term) CROSS JOIN n),
-o AS (SELECT pow(ln((1 + n) / 2.0) + 1, 2) AS other FROM n),
-line_norm AS (SELECT line_id, sqrt(sum(coalesce(w.w2, o.other))) AS norm FROM e LEFT JOIN w USING (term) CROSS JOIN o GROUP BY line_id),
-template_norm AS (SELECT k, any_value(license) AS license, sqrt(sum(w2)) AS norm FROM tt JOIN w USING (term) GROUP BY k),
-c AS (SELECT e.doc_id, e.line_id, tt.k, sum(w.w2) AS dot FROM e JOIN tt USING (term) JOIN w USING (term) GROUP BY ALL),
-s AS (SELECT c.doc_id, c.line_id, c.k, tn.license, round(c.dot / (ln.norm * tn.norm), 9) AS score FROM c JOIN line_norm ln USING (line_id) JOIN template_norm tn USING (k)),
-b AS (SELECT doc_id, line_id, max(score) AS score, arg_min(license, (-score, k)) AS license FROM s GROUP BY ALL),
+df AS (SELECT term, count(*) AS c FROM (SELECT unnest(own) AS term FROM l) GROUP BY term),
+idf AS (SELECT term, c, ln((1 + n) / CAST(1 + c AS DOUBLE)) + 1 AS w FROM df, n),
+mean AS (SELECT coalesce(sum(c * w) / sum(c), 1) AS w FROM idf),
+u AS (SELECT doc_id, line_id AS unit, own, false AS whole FROM l UNION ALL SELECT doc_id, -1 - doc_id, list_distinct(regexp_extract_all(lower(text), '{TERM}')), true FROM files WHERE doc_id % 100 = 0 AND text IS NOT NULL),
+e AS (SELECT doc_id, unit, whole, unnest(own) AS term FROM u),
+unit_norm AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM e JOIN idf USING (term) GROUP BY unit),
+tw AS (SELECT tt.k, tt.license, tt.term, coalesce(idf.w, mean.w) AS w FROM tt LEFT JOIN idf USING (term) CROSS JOIN mean),
+template_norm AS (SELECT k, any_value(license) AS license, sqrt(sum(w * w)) AS norm FROM tw GROUP BY k),
+c AS (SELECT e.doc_id, e.unit, tw.k, sum(tw.w * tw.w) AS dot FROM e JOIN tw USING (term) WHERE e.whole OR tw.k < {len(TEMPLATES)} GROUP BY ALL),
+s AS (SELECT c.doc_id, c.unit, c.k, tn.license, round(c.dot / (un.norm * tn.norm), 9) AS score FROM c JOIN unit_norm un USING (unit) JOIN template_norm tn USING (k)),
+b AS (SELECT doc_id, unit, max(score) AS score, arg_min(license, (-score, k)) AS license FROM s GROUP BY ALL),
 own AS (SELECT doc_id, max(score) AS own_score, arg_min(license, (-score, license)) AS own_license FROM b WHERE score >= {THRESHOLD} GROUP BY doc_id),
-f AS (SELECT files.*, own_license, own_score FROM files LEFT JOIN own USING (doc_id)),
+f AS (SELECT files.doc_id, files.path, files.dir, own_license, own_score FROM files LEFT JOIN own USING (doc_id)),
 st AS (SELECT dir, own_license AS license, count(*) AS c FROM f WHERE own_license IS NOT NULL GROUP BY ALL),
 d AS (SELECT dir, arg_min(license, (-c, license)) AS license FROM st GROUP BY dir),
 i AS (SELECT f.doc_id, arg_max(d.dir, length(d.dir)) AS inherited_from, arg_max(d.license, length(d.dir)) AS license

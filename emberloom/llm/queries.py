@@ -17,13 +17,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents have no paths; theirs are source, thousands and hundreds of the id,
-    where a round id stands in the directory above. Any document that states a license
-    states it for its directory."""
+    where a round id is the licence file of the directory above. Any document that states a
+    license states it for its directory."""
     d = F.col("doc_id")
     place = F.when(d % 1000 == 0, F.array("source")).when(d % 100 == 0, F.array(F.col("source"), F.expr("cast(doc_id div 1000 as string)"))).otherwise(
         F.array(F.col("source"), F.expr("cast(doc_id div 1000 as string)"), F.expr("cast(doc_id div 100 as string)"))
     )
-    path = F.concat(F.array_join(place, "/"), F.lit("/"), F.coalesce(d.cast("string"), F.lit("")), F.lit(".txt"))
+    path = F.concat(F.array_join(place, "/"), F.when(d % 100 == 0, "/LICENSE.").otherwise("/"), F.coalesce(d.cast("string"), F.lit("")), F.lit(".txt"))
     files = table(spark, sf_dir, "documents").select(d.alias("key"), path.alias("path"), "text")
     return licenses.scan(files, every_statement=True).withColumnRenamed("key", "doc_id")
 

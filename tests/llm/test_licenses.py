@@ -1,21 +1,26 @@
 import math
 import re
+from collections import Counter
 
 from emberloom.llm import licenses as lic
 
 
 def brute(rows, threshold=lic.THRESHOLD, every=False):
     lines = [line for _, _, t in rows for line in (t or "").split("\n")]
-    vocab = set(lic.vocabulary())
-    df = {v: sum(v in set(re.findall(lic.TERM, x.lower())) for x in lines) for v in vocab}
+    df = Counter(t for x in lines for t in set(re.findall(lic.TERM, x.lower())))
+
+    def idf(n):
+        return math.log((1 + len(lines)) / (1 + n)) + 1
+
+    mean = sum(n * idf(n) for n in df.values()) / sum(df.values()) if df else 1.0
 
     def w2(t):
-        return (math.log((1 + len(lines)) / (1 + (df[t] if t in vocab else 1))) + 1) ** 2
+        return (idf(df[t]) if t in df else mean) ** 2
 
-    def best(text):
+    def best(text, whole=False):
         own = set(re.findall(lic.TERM, text.lower()))
         out = []
-        for name, template in lic.TEMPLATES:
+        for name, template in lic.TEMPLATES + lic.TEXTS * whole:
             t = set(lic.terms_of(template))
             if own:
                 out.append((round(sum(map(w2, own & t)) / math.sqrt(sum(map(w2, own)) * sum(map(w2, t))), 9), name))
@@ -26,7 +31,7 @@ def brute(rows, threshold=lic.THRESHOLD, every=False):
     for i, (key, path, text) in enumerate(rows):
         found = [best(x) for x in (text or "").split("\n")]
         if text and (path or "").rsplit("/", 1)[-1].split(".")[0].lower() in lic.LICENSE_FILES:
-            found.append(best(text))
+            found.append(best(text, True))
         found = [f for f in found if f and f[0] >= threshold]
         own[i] = min(((-s, n) for s, n in found), default=None)
     stated = {}
@@ -65,6 +70,10 @@ def rows():
         (None, "q/r/t.py", "word " * 30000),
         (11, "q/NOTICE", "Licensed under CC BY-NC 4.0."),
         (12, "q/r/é.py", "Licensed under CC BY-NC-ND 4.0"),
+        (13, "v/LICENSE.md", "\n".join(["Copyright (c) someone", *re.findall(".{1,70}(?: |$)", dict(lic.TEXTS)["MIT"])])),
+        (14, "v/w/f.c", "int x;"),
+        (15, "z/COPYING", dict(lic.TEXTS)["BSD-2-Clause"].replace(". ", ".\n")),
+        (16, "z/notes.txt", dict(lic.TEXTS)["Zlib"]),
     ]
     return out
 
@@ -97,7 +106,7 @@ def test_query_on_its_table(spark):
     def path(r):
         d = r["doc_id"]
         parts = [r["source"]] + ([str(d // 1000)] if d % 1000 else []) + ([str(d // 100)] if d % 100 else [])
-        return "/".join(parts) + f"/{d}.txt"
+        return "/".join(parts) + ("/LICENSE." if d % 100 == 0 else "/") + f"{d}.txt"
 
     got = queries.op2_licenses(spark, "/root/testdata/sf0.001").collect()
     want = brute([(r["doc_id"], path(r), r["text"]) for r in docs], every=True)
