@@ -12,10 +12,11 @@ subsequence, and the alignment decides:
 
 * on a page without an article, lines shared with the nearest page that is not
   a copy go; if nothing would be left, they stay;
-* suspect lines go if either neighbour has them, and stay otherwise;
-* inside an article, where two pages may share passages or a site may serve one
-  article under two URLs, a line goes if both neighbours have it and neither
-  shares half of the article with it.
+* suspect lines, within articles too, go if either neighbour has them, and stay
+  otherwise.
+
+Other lines of an article stay: articles share passages and short paragraphs,
+and a site may serve one article under two URLs.
 
 End tags that HTML lets a page leave out (of head, p, list items, table parts
 and options) are supplied where the element ends. Class, role and id count only
@@ -50,8 +51,6 @@ RANGES = 50_000
 #: Keys drawn for each range, to set the ranges' ends, and the longest URL that sets one.
 KEYS_PER_RANGE = 8
 KEY_CHARS = 500
-#: Share of an article's characters from which a neighbour with the same lines is a version of it.
-VERSION = 0.5
 
 #: Elements whose content is never text of the page.
 SKIPPED = frozenset("script style template textarea title iframe object select option button noscript svg canvas audio video datalist head".split())
@@ -346,11 +345,7 @@ def main_text(own: list[tuple[str, int]], *neighbours: list[tuple[str, int]] | N
     either = set().union(*shared)
     article = [k for k, (_, mark) in enumerate(own) if mark in (MAIN, SUSPECT_MAIN)]
     if article:
-        size = sum(len(texts[k]) for k in article)
-        evidence = [s for s in shared if sum(len(texts[k]) for k in article if k in s) < VERSION * size]
-        both = evidence[0] & evidence[1] if len(evidence) == 2 else set()
-        kept = [k for k in article if k not in (either if own[k][1] == SUSPECT_MAIN else both)]
-        return "\n".join(texts[k] for k in kept)
+        return "\n".join(texts[k] for k in article if own[k][1] == MAIN or k not in either)
     sure = [k for k in range(len(own)) if own[k][1] == FREE or k not in either]
     kept = [k for k in sure if not shared or k not in shared[0]]
     return "\n".join(texts[k] for k in kept or sure)

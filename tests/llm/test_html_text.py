@@ -104,10 +104,7 @@ def brute_settle(pages):
         shared = [set(own[x] for x in common(own, [t for t, _ in parsed[n]])) for n in near if [t for t, _ in parsed[n]] != own]
         main = [t for t, m in parsed[k] if m in (ht.MAIN, ht.SUSPECT_MAIN)]
         if main:
-            size = sum(map(len, main))
-            strong = [s for s in shared if sum(len(t) for t in main if t in s) < size / 2]
-            both = strong[0] & strong[1] if len(strong) == 2 else set()
-            kept = [t for t, m in parsed[k] if m == ht.MAIN and t not in both or m == ht.SUSPECT_MAIN and not any(t in s for s in shared)]
+            kept = [t for t, m in parsed[k] if m == ht.MAIN or m == ht.SUSPECT_MAIN and not any(t in s for s in shared)]
         else:
             sure = [t for t, m in parsed[k] if m == ht.FREE or not any(t in s for s in shared)]
             kept = [t for t in sure if not shared or t not in shared[0]] or sure
