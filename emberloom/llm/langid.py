@@ -49,9 +49,9 @@ WORD_NATS = 12.0
 #: Share of a language's training letters from which it counts as using a script.
 SCRIPT_SHARE = 0.01
 #: Words labelled together.
-BATCH_WORDS = 600_000
+BATCH_WORDS = 250_000
 #: Words whose scores a worker keeps at most.
-KEPT = 300_000
+KEPT = 200_000
 
 #: First code points of script ranges, in order; what lies between has the name given.
 SCRIPTS = [
