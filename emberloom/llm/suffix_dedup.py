@@ -52,11 +52,11 @@ LENGTH = 50
 #: Bytes of the gram whose hash makes a window's anchor.
 GRAM = 16
 #: Bytes of text in one sorted run, about.
-RUN_BYTES = 10_000_000
+RUN_BYTES = 4_000_000
 #: Bytes of text for each range of hashes, about.
-RANGE_BYTES = 8_000_000
+RANGE_BYTES = 6_000_000
 #: Window starts hashed at once.
-BLOCK = 1_000_000
+BLOCK = 1 << 18
 #: Bits of a gram's hash that order the records, and their bytes before each record.
 HASH_BITS = 40
 HEAD = HASH_BITS // 8
