@@ -7,7 +7,9 @@
 5. packing: what is left becomes token windows.
 
 Rows that share an id are one document where a stage decides by id; a null id
-is an id like any other. Empty tables pass through every stage.
+is an id like any other. Empty tables pass through every stage, and columns of
+any other name come along to the packing. near_duplicates takes the links of
+op3's contract (fingerprints of 4-word shingles, 4 bits).
 """
 
 from __future__ import annotations
@@ -19,6 +21,17 @@ from pyspark.sql import functions as F
 from emberloom.llm import decontaminate, langid, packing, simhash, suffix_dedup
 from emberloom.llm.common import materialise, table
 
+#: Ids that are broadcast at most.
+LISTED = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """docs whose id is not among ids. These are written first and counted: up to LISTED of them are broadcast, so that texts
+    don't move; more are joined."""
+    gone = materialise(ids.select(F.col("doc_id").alias("gone")), label)
+    listed = F.broadcast(gone) if gone.count() <= LISTED else gone
+    return docs.join(listed, docs["doc_id"].eqNullSafe(listed["gone"]), "left_anti")
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs, langid.fit(docs.where(~langid.is_held_out())))
@@ -26,8 +39,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay"]), "left_semi")
+    stays = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    return without(docs, stays.where("not stays").select("doc_id"), "copies")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +53,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    return without(docs, found.where("contaminated").select("doc_id").distinct(), "contaminated")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
