@@ -815,7 +815,7 @@ def hash_embed(spark, sf_dir):
 @query()
 def search_flagship(spark, sf_dir):
     """Parts as marks with their supplier brands as codes and embeddings by id; queries of all input kinds, every row whose id is divisible by 100."""
-    from emberloom.operators import search
+    from emberloom.operators import meaning, search
 
     p, e = read(spark, sf_dir, "part"), read(spark, sf_dir, "embeddings")
     code = F.array(F.concat(F.lit("G"), F.lpad(F.regexp_extract("p_brand", "[0-9]+", 0), 4, "0")), F.concat(F.lit("S"), F.lpad(F.col("p_size").cast("string"), 4, "0")))
@@ -829,8 +829,13 @@ def search_flagship(spark, sf_dir):
     )
     stats = corpus.token_stats(p.select(F.col("p_name").alias("title"), F.col("p_brand").alias("owner")))
     words = stats.select("token", (F.log10("n") + 2).alias("zipf"))
+    # names are few and repeat: each is read for words and embedded once
+    names = p.select(F.col("p_name").alias("title")).distinct()
+    meant = meaning.embedded(meaning.has_meaning(names, "title", words), "title", out="title_vector")
+    m = m.join(meant, "title", "left")
+    q = q.join(meant.withColumnsRenamed({"title": "name", "title_vector": "name_vector"}), "name", "left")
     found = search.candidates(q, m, stats, words, 5)
-    return found.select("query_id", "id", "rank", "grade", "pattern", F.round("p", 6).alias("p"), "sources")
+    return found.select("query_id", "id", "rank", "grade", "pattern", F.round("x3_d", 4).alias("x3"), F.round("p", 6).alias("p"), "sources")
 
 
 @query(

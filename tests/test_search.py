@@ -49,3 +49,19 @@ def test_search(spark):
     assert nested["risk"]["grade"] == "risk" and nested["axes"]["x1"] == 1
     with pytest.raises(ValueError):
         search.candidates(queries, marks, stats, words, 21)
+
+
+def test_meaning_photo_and_nameless_floor(spark):
+    marks = spark.createDataFrame(
+        [(1, "blue sky", None, [1.0, 0.0], [0.8, 0.6], True), (2, "zorbix", None, [1.0, 0.0], [1.0, 0.0], False)],
+        "id int, title string, codes array<string>, embedding array<float>, title_vector array<float>, has_meaning boolean",
+    )
+    queries = spark.createDataFrame(
+        [(1, "sea wind", [0.95, 0.3122], "figure", [1.0, 0.0], True, False, True), (2, "sea wind", [0.95, 0.3122], "text", [1.0, 0.0], True, True, False)],
+        "query_id int, name string, embedding array<float>, mark_type string, name_vector array<float>, has_meaning boolean, photo boolean, nameless_floor boolean",
+    ).withColumn("goods", F.lit(None).cast("array<string>"))
+    none = spark.createDataFrame([], "token string, a bigint, n bigint"), spark.createDataFrame([], "token string, zipf double")
+    got = {(r["query_id"], r["id"]): r for r in search.candidates(queries, marks, *none, 5, baseline=0.3).collect()}
+    assert got[1, 1]["x3_d"] == pytest.approx(0.7143) and got[1, 2]["x3_d"] is None and got[2, 1]["x3_d"] == pytest.approx(0.7143)
+    assert got[1, 1]["nameless_floor"] and got[1, 1]["pattern"] == "noname:x2_whole" and got[1, 1]["x2_whole"] == pytest.approx(0.95)
+    assert got[2, 1]["x2_whole"] is None and got[2, 1]["pattern"] == "base" and not got[2, 1]["nameless_floor"]
