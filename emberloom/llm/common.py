@@ -33,9 +33,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def _remove_at_exit(spark: SparkSession, path: str, name: str | None = None) -> None:
     context = spark.sparkContext
     if context._jsc is not None and not context._jsc.sc().isStopped():
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(spark, path)
 
 
@@ -62,5 +64,5 @@ def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     name = f"emberloom_{label}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/emberloom/{name}"
     df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(min(buckets, 100_000), key).saveAsTable(name)
-    atexit.register(_remove_at_exit, spark, path)
+    atexit.register(_remove_at_exit, spark, path, name)
     return spark.table(name)
