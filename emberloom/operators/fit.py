@@ -81,16 +81,19 @@ def fit_logistic(
     constraints: np.ndarray | None = None,
     tolerance: float = 1e-8,
     most: int = 50,
+    bounds: np.ndarray | None = None,
+    intercept: bool = True,
 ) -> Fit:
-    """MAP coefficients (intercept free, first) with constraints @ coefficients >= 0."""
+    """MAP coefficients (intercept free, first; held at 0 without one) with constraints @ coefficients >= bounds, 0 if none are given."""
     k = len(features) + 1
     mean = np.zeros(k) if prior_mean is None else np.asarray(prior_mean, float)
     precision = np.broadcast_to(np.asarray(prior_precision, float), (k,)).copy()
-    precision[0] = 1e-10
+    precision[0] = 1e-10 if intercept else 1e12
     a = np.zeros((0, k)) if constraints is None else np.asarray(constraints, float)
+    least = np.zeros(len(a)) if bounds is None else np.asarray(bounds, float)
     theta = mean.copy()
-    if len(a) and (a @ theta < 0).any():
-        theta = theta + constrained_step(np.eye(k), np.zeros(k), a, -(a @ theta))[0]
+    if len(a) and (a @ theta < least).any():
+        theta = theta + constrained_step(np.eye(k), np.zeros(k), a, least - a @ theta)[0]
 
     def at(t: np.ndarray):
         loss, g, h = derivatives(rows, features, label, weight, offset, t)
@@ -100,7 +103,7 @@ def fit_logistic(
     lam = np.zeros(len(a))
     done = 0
     for done in range(1, most + 1):
-        step, lam = constrained_step(h, g, a, -(a @ theta))
+        step, lam = constrained_step(h, g, a, least - a @ theta)
         size = 1.0
         while True:
             trial = theta + size * step
@@ -113,4 +116,112 @@ def fit_logistic(
         if moved < tolerance:
             break
     residual = float(np.abs(g - (a.T @ lam if len(a) else 0)).max())
-    return Fit(["intercept", *features], theta, done, residual, float((a @ theta).min(initial=0.0)))
+    return Fit(["intercept", *features], theta, done, residual, float((a @ theta - least).min(initial=0.0)))
+
+
+#: Design terms that need an axis to be observed.
+NEEDS = {"x2_whole": "x2_whole", "x2_figure": "x2_whole", "x4": "x4"}
+
+
+def block_terms(pattern: str) -> list[str]:
+    """A pattern's terms, intercept first: those of names, and those of the axes that it has observed."""
+    from emberloom.operators import risk
+
+    axes = pattern.split("+")
+    return ["intercept", *[t for t in risk.TERMS if t not in NEEDS or NEEDS[t] in axes]]
+
+
+def vertex(x1: float, x2: float, x3: float, distinct: bool, figure: bool, image: float, goods: float) -> dict[str, float]:
+    """Design terms of a corner of the unit box."""
+    plain = 0.0 if distinct else 1.0
+    return {
+        "intercept": 1.0, "x1_d": x1, "x2_text_d": x2, "x3_d": x3, "any_no_distinctive": plain, "x1_text": 0.0 if figure else x1, "x1_no_distinctive": x1 * plain,
+        "x2_whole": image, "x2_figure": image if figure else 0.0, "x4": goods,
+    }
+
+
+def coupling_matrix(patterns: list[str], image_floor: float, goods_floor: float) -> tuple[list[str], np.ndarray]:
+    """(names, G): rows whose product with the stacked coefficients is the change of the logit when one more axis is
+    observed at its floor, or at the same value where both blocks have the other axis at an end."""
+    names = [f"{p}:{t}" for p in patterns for t in block_terms(p)]
+    place = {n: k for k, n in enumerate(names)}
+    rows = []
+    steps = [("base", "x2_whole", (0, 0), (image_floor, 0)), ("base", "x4", (0, 0), (0, goods_floor))]
+    for v in (0.0, 1.0):
+        steps += [("x2_whole", "x2_whole+x4", (v, 0), (v, goods_floor)), ("x4", "x2_whole+x4", (0, v), (image_floor, v))]
+    for low, high, before, after in steps:
+        if low not in patterns or high not in patterns:
+            continue
+        for corner in range(32):
+            own = [float(corner >> k & 1) for k in range(3)] + [bool(corner >> 3 & 1), bool(corner >> 4 & 1)]
+            row = np.zeros(len(names))
+            for pattern, ends, sign in ((high, after, 1.0), (low, before, -1.0)):
+                terms = vertex(*own, *ends)
+                for t in block_terms(pattern):
+                    row[place[f"{pattern}:{t}"]] += sign * terms[t]
+            rows.append(row)
+    return names, np.array(rows).reshape(-1, len(names))
+
+
+def joint_fit(rows: DataFrame, patterns: list[str], image_floor: float, goods_floor: float, label: str = "y", weight: str | None = None, precision: float = 1.0, fixed: dict[str, dict[str, float]] | None = None) -> dict[str, dict[str, float]]:
+    """Blocks of coefficients for all patterns at once, under the coupling constraints.
+
+    rows are risk inputs with a label. A block learns from every row that has
+    observed its axes, so fully observed rows train all blocks. fixed blocks
+    keep their coefficients: they take part in the constraints only.
+    """
+    from emberloom.operators import risk
+
+    names, g = coupling_matrix(patterns, image_floor, goods_floor)
+    fixed = fixed or {}
+    held = np.array([fixed.get(n.split(":")[0], {}).get(n.split(":")[1], 0.0) for n in names])
+    free = [k for k, n in enumerate(names) if n.split(":")[0] not in fixed]
+    own = risk.design(rows)
+    parts = []
+    for p in patterns:
+        if p in fixed:
+            continue
+        seen = F.lit(True)
+        for axis in [a for a in p.split("+") if a != "base"]:
+            seen = seen & risk.observed(axis)
+        parts.append(F.when(seen, F.lit(p)))
+    long = own.withColumn("_p", F.explode(F.array_compact(F.array(*parts))))
+    columns = []
+    for k in free:
+        p, t = names[k].split(":")
+        columns.append(F.when(F.col("_p") == p, F.lit(1.0) if t == "intercept" else F.col(f"t_{t}")).otherwise(0.0).alias(f"f{k}"))
+    # the constraints' share of the fixed blocks is a constant
+    fitted = fit_logistic(
+        long.select(*columns, label, *([weight] if weight else [])), [f"f{k}" for k in free], label, weight, prior_precision=precision, constraints=np.column_stack([np.zeros(len(g)), g[:, free]]), bounds=-(g @ held),
+        intercept=False,
+    )
+    value = held.copy()
+    value[free] = fitted.coefficients[1:]
+    return {p: {t: float(value[names.index(f"{p}:{t}")]) for t in block_terms(p)} for p in patterns}
+
+
+def model_card(blocks: dict[str, dict[str, float]], cuts: dict[str, list[float | None]], meta: dict) -> str:
+    """A fitted model as JSON, coefficients and cuts to four digits, meta as it is."""
+    import json
+
+    rounded = {p: {t: round(v, 4) for t, v in b.items()} for p, b in blocks.items()}
+    return json.dumps({"patterns": rounded, "thresholds": {p: [None if c is None else round(c, 4) for c in own] for p, own in cuts.items()}, "meta": meta}, ensure_ascii=False, sort_keys=True)
+
+
+def read_card(text: str, image_floor: float, goods_floor: float, tolerance: float = 1e-3) -> dict:
+    """The model of a card; missing terms, cuts that don't increase and coefficients that break the coupling are refused."""
+    import json
+
+    card = json.loads(text)
+    for p, block in card["patterns"].items():
+        if p.removeprefix("noname:") == p and sorted(block) != sorted(block_terms(p)):
+            raise ValueError(f"block {p} has other terms")
+    for p, own in card["thresholds"].items():
+        known = [c for c in own if c is not None]
+        if known != sorted(set(known)):
+            raise ValueError(f"cuts of {p} don't increase")
+    names, g = coupling_matrix([p for p in card["patterns"] if not p.startswith("noname:")], image_floor, goods_floor)
+    value = np.array([card["patterns"][n.split(":")[0]][n.split(":")[1]] for n in names])
+    if len(g) and (g @ value).min() < -tolerance:
+        raise ValueError("observing one more axis at its floor lowers the logit")
+    return card

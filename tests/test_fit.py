@@ -36,3 +36,43 @@ def test_constraints_hold_and_kkt(rows):
     active = g[slack < 1e-6]
     lam, *_ = np.linalg.lstsq(active.T, gradient(found.coefficients, x, y, w), rcond=None)
     assert (lam >= -1e-4).all() and np.abs(active.T @ lam - gradient(found.coefficients, x, y, w)).max() < 1e-3
+
+
+def joint_rows(spark, n=600):
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(n):
+        x1, x2, x3 = rng.random(3).tolist()
+        image, goods = (float(rng.random()) if rng.random() < 0.7 else None), (float(rng.random()) if rng.random() < 0.6 else None)
+        z = -3 + 3 * x1 + 1.5 * x2 + 1.2 * (image or 0) + 1.0 * (goods or 0)
+        rows.append((x1, x2, x3, True, image, goods, True, bool(rng.random() < 0.8), str(rng.choice(["text", "figure"])), int(rng.random() < 1 / (1 + np.exp(-z)))))
+    return spark.createDataFrame(rows, "x1_d double, x2_text_d double, x3_d double, has_meaning_both boolean, x2_whole double, x4 double, has_distinctive_a boolean, has_distinctive_b boolean, mark_type string, y int")
+
+
+def test_joint_fit_keeps_the_coupling_and_fixed_blocks(spark):
+    from emberloom.operators import fit, risk
+
+    patterns = ["base", "x2_whole", "x4", "x2_whole+x4"]
+    rows = joint_rows(spark).cache()
+    blocks = fit.joint_fit(rows, patterns, risk.IMAGE_FLOOR, risk.GOODS_FLOOR)
+    names, g = fit.coupling_matrix(patterns, risk.IMAGE_FLOOR, risk.GOODS_FLOOR)
+    value = np.array([blocks[n.split(":")[0]][n.split(":")[1]] for n in names])
+    assert len(g) == 32 * 6 and (g @ value).min() > -1e-6 and blocks["base"]["x1_d"] + blocks["base"]["x1_text"] > 1
+    again = fit.joint_fit(rows, patterns, risk.IMAGE_FLOOR, risk.GOODS_FLOOR, fixed={"base": blocks["base"]})
+    assert again["base"] == blocks["base"] and np.allclose([again["x4"][t] for t in again["x4"]], [blocks["x4"][t] for t in blocks["x4"]], atol=2e-2)
+    card = fit.model_card(blocks, {"named": [0.1, 0.2, 0.6]}, {"rows": 600})
+    assert fit.read_card(card, risk.IMAGE_FLOOR, risk.GOODS_FLOOR)["meta"] == {"rows": 600}
+    broken = {p: dict(b) for p, b in blocks.items()}
+    broken["x4"]["intercept"] -= 5
+    with pytest.raises(ValueError, match="lowers"):
+        fit.read_card(fit.model_card(broken, {}, {}), risk.IMAGE_FLOOR, risk.GOODS_FLOOR)
+    with pytest.raises(ValueError, match="increase"):
+        fit.read_card(fit.model_card(blocks, {"named": [0.5, 0.2, 0.6]}, {}), risk.IMAGE_FLOOR, risk.GOODS_FLOOR)
+
+
+def test_the_shipped_blocks_pass_their_card(spark):
+    from emberloom.operators import fit, risk
+
+    blocks = {p: dict(zip(["intercept", *risk.TERMS], [c, *w])) for p, (c, w) in risk.BLOCKS.items() if not p.startswith("noname:")}
+    blocks = {p: {t: b[t] for t in fit.block_terms(p)} for p, b in blocks.items()}
+    assert fit.read_card(fit.model_card(blocks, {"named": list(risk.CUTS["named"])}, {}), risk.IMAGE_FLOOR, risk.GOODS_FLOOR)
