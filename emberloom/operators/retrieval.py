@@ -46,12 +46,22 @@ def phrase_topk(queries: DataFrame, marks: DataFrame, score: Column, k: int, lea
     return best(scored.select("query_id", "id", "score"), k, "query_id", "score", "id")
 
 
+def name_topk(queries: DataFrame, marks: DataFrame, score: Column, k: int, least: float) -> DataFrame:
+    """phrase_topk() of queries (query_id, q_name) and marks (id, name) for a score of the two names and what follows from them.
+
+    Names repeat, so distinct ones are scored; those that rank behind k others cannot bring a row.
+    """
+    scored = against_all(queries.drop("query_id").dropDuplicates(["q_name"]), marks.drop("id").dropDuplicates(["name"]), score).where(F.col("score") >= least)
+    near = scored.withColumn("_r", F.rank().over(Window.partitionBy("q_name").orderBy(F.desc("score")))).where(F.col("_r") <= k).select("q_name", "name", "score")
+    rows = queries.select("query_id", "q_name").join(near, "q_name").join(marks.select("id", "name"), "name")
+    return best(rows.select("query_id", "id", "score"), k, "query_id", "score", "id")
+
+
 def spelling_topk(queries: DataFrame, marks: DataFrame, k: int = 20) -> DataFrame:
     """queries (query_id, q_name) and marks (id, name)."""
     q = queries.withColumn("q_keys", strings.spelling_keys(strings.tokens(F.col("q_name"))))
     m = marks.withColumn("keys", strings.spelling_keys(strings.tokens(F.col("name"))))
-    score = F.round(strings.spelling_similarity(F.col("keys"), F.col("q_keys")), 4)
-    return phrase_topk(q, m, score, k, 1e-9)
+    return name_topk(q, m, F.round(strings.spelling_similarity(F.col("keys"), F.col("q_keys")), 4), k, 1e-9)
 
 
 def postings(sets: DataFrame, key: str, codes: str) -> DataFrame:

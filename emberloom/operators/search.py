@@ -31,7 +31,7 @@ def pools(queries: DataFrame, marks: DataFrame, sizes: dict[str, int] = retrieva
     return retrieval.pool_union(
         {
             "image": retrieval.vector_topk(q_image, marks.where("embedding is not null").select("id", F.col("embedding").alias("v")), sizes["image"]),
-            "phonetic": retrieval.phrase_topk(named, titled, F.round(phonetic.phonetic_similarity_udf("name", "q_name"), 4), sizes["phonetic"], 1e-9),
+            "phonetic": retrieval.name_topk(named, titled, F.round(phonetic.phonetic_similarity_udf("name", "q_name"), 4), sizes["phonetic"], 1e-9),
             "spelling": retrieval.spelling_topk(named, titled, sizes["spelling"]),
             "goods": retrieval.best(shared, sizes["goods"], "query_id", "jaccard", "id"),
         }
@@ -66,7 +66,10 @@ def candidates(queries: DataFrame, marks: DataFrame, stats: DataFrame, words: Da
     pairs = pools(queries, marks).join(q.withColumnsRenamed({"embedding": "q_embedding"}), "query_id").join(m.withColumnsRenamed({"embedding": "m_embedding", "codes": "m_codes"}), "id")
     both = F.col("name").isNotNull() & F.col("title").isNotNull()
     meant = F.coalesce(F.col("has_meaning") & F.col("title_has_meaning") & F.col("name_vector").isNotNull() & F.col("title_vector").isNotNull(), flag)
-    scored = pairs.withColumn("n", distinct.name_axes("name", "title", "judged_a", "judged_b"))
+    # names repeat: their pairs are compared once
+    names = pairs.where(both).select("name", "title", "judged_a", "judged_b").dropDuplicates(["name", "title"])
+    compared = names.select("name", "title", distinct.name_axes("name", "title", "judged_a", "judged_b").alias("n"))
+    scored = pairs.join(compared, ["name", "title"], "left")
     qc, mc = codes.clean_codes(F.col("goods")), codes.clean_codes(F.col("m_codes"))
     axes = scored.select(
         "query_id",
