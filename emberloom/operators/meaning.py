@@ -64,19 +64,22 @@ def is_word(token: str, zipf: Callable[[str], float], single: frozenset[str] = f
 def has_meaning(names: DataFrame, name: str, words: DataFrame, single: frozenset[str] = frozenset(), adnominal: frozenset[str] = frozenset()) -> DataFrame:
     """Adds has_meaning: whether one of a name's tokens is a word by words (token, zipf).
 
-    A name's tokens and their parts are joined to the word table, which stays distributed; the rules run over what came back for each name.
+    Distinct tokens and their parts are joined to the word table, which stays distributed; the rules run over what came back for each token.
     """
-    keyed = names.withColumn("_id", F.monotonically_increasing_id())
-    each = keyed.select("_id", F.explode(phonetic.tokens_udf(name)).alias("token")).distinct()
-    looked = each.select("_id", "token", F.explode(_parts("token")).alias("part"))
-    known = looked.join(words.select(F.col("token").alias("part"), "zipf"), "part").groupBy("_id", "token").agg(F.map_from_entries(F.collect_set(F.struct("part", "zipf"))).alias("z"))
+    distinct = names.select(F.col(name).alias("_name")).where("_name is not null").distinct()
+    each = distinct.select("_name", F.explode(phonetic.tokens_udf("_name")).alias("token")).distinct()
+    tokens = each.select("token").distinct()
+    looked = tokens.select("token", F.explode(_parts("token")).alias("part"))
+    table = words.select(F.col("token").alias("part"), "zipf").groupBy("part").agg(F.max("zipf").alias("zipf"))
+    known = looked.join(table, "part").groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("part", "zipf"))).alias("z"))
 
     @F.pandas_udf(T.BooleanType())
     def judge(tokens: pd.Series, tables: pd.Series) -> pd.Series:
         return pd.Series([is_word(t, (lambda z: lambda p: z.get(p, 0.0))(dict(m) if m is not None else {}), single, adnominal) for t, m in zip(tokens, tables)])
 
-    meant = each.join(known, ["_id", "token"], "left").select("_id", judge("token", "z").alias("w")).groupBy("_id").agg(F.max("w").alias("has_meaning"))
-    return keyed.join(meant, "_id", "left").drop("_id").withColumn("has_meaning", F.coalesce("has_meaning", F.lit(False)))
+    judged = tokens.join(known, "token", "left").select("token", judge("token", "z").alias("w"))
+    meant = each.join(judged, "token").groupBy("_name").agg(F.max("w").alias("has_meaning"))
+    return names.join(meant, F.col(name) == F.col("_name"), "left").drop("_name").withColumn("has_meaning", F.coalesce("has_meaning", F.lit(False)))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -102,16 +105,15 @@ def split_suffix(name: str, goods: frozenset[str]) -> str:
 
 def split_suffixes(names: DataFrame, name: str, goods: DataFrame, out: str = "split") -> DataFrame:
     """Adds the name split by goods names (goods_name); ends of runs are joined to the goods names, so neither side is broadcast whole."""
-    keyed = names.withColumn("_id", F.monotonically_increasing_id())
-    runs = keyed.select("_id", F.explode(F.regexp_extract_all(F.coalesce(F.col(name), F.lit("")), F.lit("([가-힣]{3,})"), F.lit(1))).alias("run"))
-    ends = runs.select("_id", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("run") - 1), lambda k: F.substr("run", k, F.char_length("run")))).alias("end")).distinct()
-    known = ends.join(goods.select(F.col("goods_name").alias("end")).distinct(), "end", "left_semi").groupBy("_id").agg(F.collect_set("end").alias("_goods"))
+    runs = names.select(F.col(name).alias("_name")).distinct().select("_name", F.explode(F.regexp_extract_all("_name", F.lit("([가-힣]{3,})"), F.lit(1))).alias("run"))
+    ends = runs.select("_name", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("run") - 1), lambda k: F.substr("run", k, F.char_length("run")))).alias("end")).distinct()
+    known = ends.join(goods.select(F.col("goods_name").alias("end")).distinct(), "end", "left_semi").groupBy("_name").agg(F.collect_set("end").alias("_goods"))
 
     @F.pandas_udf(T.StringType())
     def split(values: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([split_suffix(v, frozenset(g if g is not None else ())) for v, g in zip(values, found)])
 
-    return keyed.join(known, "_id", "left").withColumn(out, split(F.col(name), F.col("_goods"))).drop("_id", "_goods")
+    return names.join(known, F.col(name) == F.col("_name"), "left").withColumn(out, split(F.col(name), F.col("_goods"))).drop("_name", "_goods")
 
 
 class Embedder:
