@@ -162,20 +162,20 @@ def template_terms(spark, weights: Weights) -> DataFrame:
 
 
 def score_vectors(vectors: DataFrame, frequency: DataFrame, weights: Weights) -> DataFrame:
-    """Distinct words arrays -> words and their best license (score, license) as a line and as a whole file, by the corpus' frequencies of all their words."""
-    each = vectors.select("words", F.explode("words").alias("term")).join(frequency, "term")
+    """vectors (key, distinct words) -> key and their best license (score, license) as a line and as a whole file, by the corpus' frequencies of all their words."""
+    each = vectors.select("key", F.explode("words").alias("term")).join(frequency, "term")
     weighed = each.withColumn("w2", F.pow(weights.idf(F.col("count")), 2))
 
     def total(w2):
         return F.aggregate(F.array_sort(F.collect_list(w2)), F.lit(0.0), lambda a, x: a + x)
 
-    norms = weighed.groupBy("words").agg(F.sqrt(total("w2")).alias("own"))
+    norms = weighed.groupBy("key").agg(F.sqrt(total("w2")).alias("own"))
     met = weighed.join(F.broadcast(template_terms(vectors.sparkSession, weights)), "term")
-    dots = met.groupBy("words", "k", "license", "norm").agg(total("w2").alias("dot")).join(norms, "words")
+    dots = met.groupBy("key", "k", "license", "norm").agg(total("w2").alias("dot")).join(norms, "key")
     # -k: of equal scores the earlier template
     option = F.struct(F.round(F.col("dot") / (F.col("own") * F.col("norm")), 9).alias("score"), (-F.col("k")).alias("k"), "license")
-    best = dots.groupBy("words").agg(F.max(F.when(F.col("k") < len(TEMPLATES), option)).alias("line"), F.max(option).alias("whole"))
-    return best.select("words", *[F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.score").alias("score"), F.col(f"{c}.license").alias("license"))).alias(c) for c in ("line", "whole")])
+    best = dots.groupBy("key").agg(F.max(F.when(F.col("k") < len(TEMPLATES), option)).alias("line"), F.max(option).alias("whole"))
+    return best.select("key", *[F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.score").alias("score"), F.col(f"{c}.license").alias("license"))).alias(c) for c in ("line", "whole")])
 
 
 def _best(options: Column) -> Column:
@@ -214,16 +214,19 @@ def own_licenses(files: DataFrame, frequency: DataFrame, threshold: float = THRE
         return notice_bound(words, weights) >= threshold - 1e-6
 
     lines = F.filter(F.filter(F.transform(F.coalesce(some, F.array().cast("array<string>")), vector), has_room), may_reach)
-    units = F.concat(
-        F.transform(lines, lambda w: F.struct(w.alias("words"), F.lit(False).alias("whole"))), F.transform(whole, lambda t: F.struct(vector(t).alias("words"), F.lit(True).alias("whole")))
-    )
+
+    def unit(words, is_whole: bool):
+        # words move under their hash, so that a long text's are not repeated with each of them
+        return F.struct(F.sha2(F.array_join(words, " "), 256).alias("key"), words.alias("words"), F.lit(is_whole).alias("whole"))
+
+    units = F.concat(F.transform(lines, lambda w: unit(w, False)), F.transform(F.transform(whole, vector), lambda w: unit(w, True)))
     kept = named.select(F.monotonically_increasing_id().alias("row"), "key", "path", "dir", "names_directory", F.array_distinct(units).alias("near"))
     kept = materialise(kept, "license_lines")
-    each = kept.select("row", F.explode("near").alias("unit")).select("row", "unit.words", "unit.whole")
-    scored = score_vectors(each.select("words").distinct(), frequency, weights)
+    each = kept.select("row", F.explode("near").alias("unit")).select("row", "unit.key", "unit.words", "unit.whole")
+    scored = score_vectors(each.groupBy("key").agg(F.first("words").alias("words")), frequency, weights)
     # a common line's rows are dealt over SALTS tasks
-    scored = scored.select("words", F.col("line").alias("by_line"), F.col("whole").alias("by_whole"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(scored, ["words", "salt"])
+    scored = scored.select("key", F.col("line").alias("by_line"), F.col("whole").alias("by_whole"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = each.drop("words").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(scored, ["key", "salt"])
     option = F.when(F.col("whole"), F.col("by_whole")).otherwise(F.col("by_line"))
     own = met.select("row", option.alias("option")).where(F.col("option.score") >= threshold).groupBy("row").agg(_best(F.collect_list("option")).alias("own"))
     return kept.join(own, "row", "left").select("key", "path", "dir", "names_directory", "own")
