@@ -41,8 +41,8 @@ def _remove_at_exit(spark: SparkSession, path: str, name: str | None = None) ->
         remove(spark, path)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+def materialise(df: DataFrame, label: str, **options: int | str) -> DataFrame:
+    """Write df as Parquet into the shared folder, with the writer's options, and read it back.
 
     This cuts the lineage: a lost executor later costs a re-read, not a
     recomputation, and every reader of the result sees the same rows. The
@@ -50,7 +50,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/emberloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     atexit.register(_remove_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

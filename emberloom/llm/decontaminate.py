@@ -34,11 +34,13 @@ from .common import materialise
 #: Words a window has.
 WINDOW = 10
 #: Words a shard holds at least, unless its partition ends before.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 400_000
+#: Bytes of a row group of the stored index: readers hold one at a time.
+GROUP_BYTES = 4_000_000
 #: Characters of benchmark text looked up in one pass over the index.
 BLOCK_CHARS = 4_000_000
 #: Candidate starts intersected at once.
-CANDIDATES = 1_000_000
+CANDIDATES = 250_000
 
 #: A-Z become a-z, other ASCII signs that end a word become blanks.
 _FOLD = bytes(
@@ -47,17 +49,17 @@ _FOLD = bytes(
 )
 
 INDEX_SCHEMA = (
-    "shard string, doc_ids array<bigint>, doc_words array<int>, terms array<binary>, "
-    "term_starts array<int>, positions array<int>"
+    "shard string, doc_ids array<bigint>, doc_words binary, terms array<binary>, "
+    "term_starts binary, positions binary"
 )
 _INDEX_ARROW = pa.schema(
     [
         ("shard", pa.string()),
         ("doc_ids", pa.list_(pa.int64())),
-        ("doc_words", pa.list_(pa.int32())),
+        ("doc_words", pa.binary()),
         ("terms", pa.list_(pa.binary())),
-        ("term_starts", pa.list_(pa.int32())),
-        ("positions", pa.list_(pa.int32())),
+        ("term_starts", pa.binary()),
+        ("positions", pa.binary()),
     ]
 )
 MATCH_SCHEMA = (
@@ -82,6 +84,14 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_FOLD).split() if text else []
 
 
+#: Numbers of the index, one after the other in a binary column: neither side takes them apart one by one.
+_INT = np.dtype("<i4")
+
+
+def _ints(column) -> np.ndarray:
+    return np.frombuffer(column, _INT)
+
+
 def _index_batches(batches):
     from pyspark import TaskContext
 
@@ -91,9 +101,9 @@ def _index_batches(batches):
     def flush(ids, lengths, chunks, dictionary):
         nonlocal made
         tokens = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
-        order = np.argsort(tokens, kind="stable").astype(np.int32)
-        starts = np.concatenate([[0], np.cumsum(np.bincount(tokens, minlength=len(dictionary)))]).astype(np.int32)
-        row = [f"{part}-{made}", ids, lengths, list(dictionary), starts, order]
+        order = np.argsort(tokens, kind="stable").astype(_INT)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(tokens, minlength=len(dictionary)))]).astype(_INT)
+        row = [f"{part}-{made}", ids, np.array(lengths, _INT).tobytes(), list(dictionary), starts.tobytes(), order.tobytes()]
         made += 1
         return pa.RecordBatch.from_arrays(
             [pa.array([v], type=f.type) for v, f in zip(row, _INDEX_ARROW, strict=True)], schema=_INDEX_ARROW
@@ -123,7 +133,8 @@ def _index_batches(batches):
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored positional inverted index: one row for each shard."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialise(rows.mapInArrow(_index_batches, INDEX_SCHEMA), "postings")
+    # row groups are looked at after each row, as rows are long
+    return materialise(rows.mapInArrow(_index_batches, INDEX_SCHEMA), "postings", **{"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1})
 
 
 def test_blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS):
@@ -185,7 +196,7 @@ def term_frequency(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
         total: dict[bytes, int] = defaultdict(int)
         for batch in batches:
             for names, starts in zip(batch.column(0), batch.column(1), strict=True):
-                at = starts.values.to_numpy()
+                at = _ints(starts.as_buffer())
                 for k, term in enumerate(names.as_py()):
                     if term in wanted.value:
                         total[term] += int(at[k + 1] - at[k])
@@ -200,16 +211,16 @@ class _Shard:
     """One row of the index, with its postings keyed for intersection."""
 
     def __init__(self, row: dict, block_terms: list[bytes]):
-        self.doc_words = np.asarray(row["doc_words"], np.int64)
+        self.doc_words = _ints(row["doc_words"]).astype(np.int64)
         self.doc_starts = np.concatenate([[0], np.cumsum(self.doc_words)])
-        starts = np.asarray(row["term_starts"], np.int64)
+        starts = _ints(row["term_starts"])
         local = {t: k for k, t in enumerate(row["terms"])}
         own = np.array([local.get(t, -1) for t in block_terms], np.int64)
         known = np.flatnonzero(own >= 0)
         self.length = np.zeros(len(block_terms), np.int64)
         self.length[known] = starts[own[known] + 1] - starts[own[known]]
-        positions = np.asarray(row["positions"], np.int64)
-        parts = [positions[starts[own[k]] : starts[own[k] + 1]] for k in known]
+        positions = _ints(row["positions"])
+        parts = [positions[starts[own[k]] : starts[own[k] + 1]].astype(np.int64) for k in known]
         self.first = np.concatenate([[0], np.cumsum(self.length)])
         self.positions = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         # sorted by (term, position): membership in any term's list is one binary search
@@ -254,7 +265,7 @@ def _shards(batches, terms):
     for batch in batches:
         for k in range(batch.num_rows):
             row = {
-                name: batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+                name: batch.column(name)[k].as_buffer()
                 if name in ("doc_words", "term_starts", "positions")
                 else batch.column(name)[k].as_py()
                 for name in batch.schema.names

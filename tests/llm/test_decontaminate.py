@@ -99,3 +99,18 @@ def test_very_long_text_and_benchmark(spark):
     bench = spark.createDataFrame([("long", " ".join(own[lo : lo + 2_000])), ("gone", "no such words here")], "item_id string, text string")
     got = {r["doc_id"]: r for r in dc.digest(dc.contamination(docs, bench)).collect()}
     assert (got[1]["n_words"], got[1]["n_hit"], got[1]["n_items"]) == (300_000, 2_000, 1) and not got[2]["contaminated"]
+
+
+def test_index_rows_and_row_groups_stay_small(spark):
+    """What a task holds at once doesn't follow its partition: 1.4 million words lie in several shards, each in a row group of its own."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(20_000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(vocab, k=20_000))) for i in range(70)], "doc_id bigint, text string").coalesce(1)
+    index = dc.build_index(docs)
+    files = sorted({f.removeprefix("file:").replace("///", "/") for f in index.inputFiles()})
+    groups = [pq.ParquetFile(f).metadata.row_group(k) for f in files for k in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == index.count() >= 3
+    assert max(g.total_byte_size for g in groups) < 2 * dc.GROUP_BYTES
+    assert index.selectExpr("max(length(positions)) n").first()["n"] < 4 * (dc.SHARD_WORDS + 20_001)
