@@ -12,6 +12,8 @@ from emberloom.functions.vectors import dot
 
 #: Queries compared with the whole table at once.
 QUERY_BLOCK = 5_000
+#: Keys of one code set that are expanded together, about.
+CHUNK = 256
 #: Pool sizes of the retrieval paths.
 POOLS = {"image": 20, "phonetic": 20, "spelling": 20, "semantic": 5, "goods": 20}
 
@@ -77,6 +79,27 @@ def overlaps(left: DataFrame, right: DataFrame, l_key: str, r_key: str) -> DataF
     return counted.select(l_key, r_key, "both", F.round(F.col("both") / (F.col("l_size") + F.col("r_size") - F.col("both")), 4).alias("jaccard"))
 
 
+def pairs_within(sets: DataFrame, key: str, codes: str) -> DataFrame:
+    """sets (key, codes; a key once) -> overlaps() of all pairs l_key < r_key that share a code.
+
+    Keys with equal sets form a class: classes are compared, and a pair of
+    classes becomes its pairs of keys at the end, chunk of keys by chunk of
+    keys, dealt to all tasks whatever the size of a class.
+    """
+    own = sets.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.col(codes))).alias("own")).where(F.size("own") > 0)
+    classes = own.groupBy("own").agg(F.min("key").alias("class"), F.count("*").alias("n"))
+    post = postings(classes, "class", "own")
+    between = overlaps(post.withColumnRenamed("class", "l_class"), post.withColumnRenamed("class", "r_class"), "l_class", "r_class").where("l_class <= r_class")
+    dealt = own.join(classes, "own").select("class", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
+    chunks = dealt.groupBy("class", "chunk").agg(F.collect_list("key").alias("keys"))
+    l, r = (chunks.select(*[F.col(c).alias(f"{side}_{c}") for c in chunks.columns]) for side in "lr")
+    met = between.join(l, "l_class").join(r, "r_class").where("l_class < r_class or l_chunk <= r_chunk")
+    spread = met.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l_class", "l_chunk", "r_class", "r_chunk")
+    # the keys of two chunks of one class are met once, those of one chunk both ways
+    each = spread.select("*", F.explode("l_keys").alias("a")).select("*", F.explode("r_keys").alias("b")).where("l_class < r_class or l_chunk < r_chunk or a < b")
+    return each.select(F.least("a", "b").alias("l_key"), F.greatest("a", "b").alias("r_key"), "both", "jaccard")
+
+
 def pool_union(pools: dict[str, DataFrame]) -> DataFrame:
     """Union of (query_id, id) pools: one row per pair with the names of its pools, in order."""
     tagged = [df.select("query_id", "id", F.lit(name).alias("source")) for name, df in pools.items()]

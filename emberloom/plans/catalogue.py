@@ -107,8 +107,7 @@ def _brand_sets(spark, sf_dir):
 FROM s a JOIN s b ON a.code = b.code AND a.k < b.k JOIN n na ON na.k = a.k JOIN n nb ON nb.k = b.k GROUP BY ALL"""
 )
 def goods_jaccard_pairs(spark, sf_dir):
-    post = retrieval.postings(_brand_sets(spark, sf_dir), "k", "codes")
-    return retrieval.overlaps(post.withColumnRenamed("k", "l_key"), post.withColumnRenamed("k", "r_key"), "l_key", "r_key").where("l_key < r_key")
+    return retrieval.pairs_within(_brand_sets(spark, sf_dir), "k", "codes")
 
 
 @query(

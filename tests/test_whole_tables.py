@@ -35,3 +35,19 @@ def test_goods_pairs_cover_all_suppliers(spark):
     want = {(a, b, len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 4)) for a in keys for b in keys if a < b and sets[a] & sets[b]}
     got = [tuple(r) for r in catalogue.goods_jaccard_pairs(spark, sf).select("l_key", "r_key", "both", "jaccard").collect()]
     assert len(got) == len(want) > 60 * 59 // 2 and set(got) == want
+
+
+def test_goods_pairs_of_equal_and_different_sets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from emberloom.operators import retrieval
+
+    sets = {k: ["a", "b", "c"] for k in range(40)} | {k: ["c", "d"] for k in range(20, 60, 3)} | {100: ["a"], 101: ["z"], 102: [], 103: ["a", "a"], 104: ["d", "a", "b"]}
+    rows = spark.createDataFrame([*sets.items(), (None, ["a"]), (105, None)], "k bigint, codes array<string>")
+    want = sorted((a, b, len(x), round(len(x) / len(set(sets[a]) | set(sets[b])), 4)) for a in sets for b in sets if a < b and (x := set(sets[a]) & set(sets[b])))
+    for chunk in (retrieval.CHUNK, 7):
+        monkeypatch.setattr(retrieval, "CHUNK", chunk)
+        assert sorted(tuple(r) for r in retrieval.pairs_within(rows, "k", "codes").collect()) == want
+    made = spark.createDataFrame([(k, list("abcdefghij")) for k in range(300)], "k bigint, codes array<string>")
+    pairs = retrieval.pairs_within(made, "k", "codes")
+    assert pairs.count() == 300 * 299 // 2 and [tuple(r) for r in pairs.agg(F.min("both"), F.max("both"), F.min("jaccard")).collect()] == [(10, 10, 1.0)]
