@@ -48,15 +48,25 @@ def phrase_topk(queries: DataFrame, marks: DataFrame, score: Column, k: int, lea
     return best(scored.select("query_id", "id", "score"), k, "query_id", "score", "id")
 
 
+def shared_topk(scored: DataFrame, marks: DataFrame, k: int, query: str, value: str, score: str) -> DataFrame:
+    """scored (query, value, score) and marks (id, value): the k best marks of each query, where a mark has its value's score.
+
+    The k least ids of a value are all that it can bring, as ids decide between equal scores.
+    """
+    near = scored.withColumn("_r", F.rank().over(Window.partitionBy(query).orderBy(F.desc(score)))).where(F.col("_r") <= k).drop("_r")
+    first = marks.withColumn("_n", F.row_number().over(Window.partitionBy(value).orderBy("id"))).where(F.col("_n") <= k).select("id", value)
+    return best(near.join(first, value).drop(value), k, query, score, "id")
+
+
 def name_topk(queries: DataFrame, marks: DataFrame, score: Column, k: int, least: float) -> DataFrame:
     """phrase_topk() of queries (query_id, q_name) and marks (id, name) for a score of the two names and what follows from them.
 
-    Names repeat, so distinct ones are scored; those that rank behind k others cannot bring a row.
+    Names repeat, so distinct ones are scored and ranked, and queries take the answer of their name; names that rank behind k
+    others cannot bring a row.
     """
     scored = against_all(queries.drop("query_id").dropDuplicates(["q_name"]), marks.drop("id").dropDuplicates(["name"]), score).where(F.col("score") >= least)
-    near = scored.withColumn("_r", F.rank().over(Window.partitionBy("q_name").orderBy(F.desc("score")))).where(F.col("_r") <= k).select("q_name", "name", "score")
-    rows = queries.select("query_id", "q_name").join(near, "q_name").join(marks.select("id", "name"), "name")
-    return best(rows.select("query_id", "id", "score"), k, "query_id", "score", "id")
+    found = shared_topk(scored.select("q_name", "name", "score"), marks.select("id", "name"), k, "q_name", "name", "score")
+    return queries.select("query_id", "q_name").join(found, "q_name").select("query_id", "id", "score", "rank")
 
 
 def spelling_topk(queries: DataFrame, marks: DataFrame, k: int = 20) -> DataFrame:
@@ -79,6 +89,15 @@ def overlaps(left: DataFrame, right: DataFrame, l_key: str, r_key: str) -> DataF
     return counted.select(l_key, r_key, "both", F.round(F.col("both") / (F.col("l_size") + F.col("r_size") - F.col("both")), 4).alias("jaccard"))
 
 
+def codes_topk(queries: DataFrame, marks: DataFrame, k: int) -> DataFrame:
+    """queries (query_id, codes) and marks (id, codes): the k of each query that share codes, by jaccard; equal sets are compared once."""
+    q = queries.select("query_id", F.array_sort(F.array_distinct("codes")).alias("q_set"))
+    m = marks.select("id", F.array_sort(F.array_distinct("codes")).alias("m_set"))
+    sides = [postings(x.select(c).distinct(), c, c) for x, c in ((q, "q_set"), (m, "m_set"))]
+    found = shared_topk(overlaps(*sides, "q_set", "m_set"), m, k, "q_set", "m_set", "jaccard")
+    return q.join(found, "q_set").select("query_id", "id", "both", "jaccard", "rank")
+
+
 def pairs_within(sets: DataFrame, key: str, codes: str) -> DataFrame:
     """sets (key, codes; a key once) -> overlaps() of all pairs l_key < r_key that share a code.
 

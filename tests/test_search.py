@@ -65,3 +65,27 @@ def test_meaning_photo_and_nameless_floor(spark):
     assert got[1, 1]["x3_d"] == pytest.approx(0.7143) and got[1, 2]["x3_d"] is None and got[2, 1]["x3_d"] == pytest.approx(0.7143)
     assert got[1, 1]["nameless_floor"] and got[1, 1]["pattern"] == "noname:x2_whole" and got[1, 1]["x2_whole"] == pytest.approx(0.95)
     assert got[2, 1]["x2_whole"] is None and got[2, 1]["pattern"] == "base" and not got[2, 1]["nameless_floor"]
+
+
+def test_repeated_names_and_sets_bring_k_ids_each(spark):
+    """The pools equal brute force, and marks are cut to the k least ids of a value before queries meet them."""
+    import random
+
+    from emberloom.operators import retrieval
+
+    rng = random.Random(8)
+    sets = [["a"], ["a", "b"], ["b", "c"], ["c", "d", "e"], []]
+    marks = {i: (rng.choice(["red bolt", "red nut", "blue nut", "x"]), rng.choice(sets)) for i in rng.sample(range(1000), 300)}
+    asked = {q: (rng.choice(["red bolt", "nut"]), rng.choice(sets)) for q in range(40)}
+    m = spark.createDataFrame([(i, *v) for i, v in marks.items()], "id bigint, name string, codes array<string>")
+    q = spark.createDataFrame([(i, *v) for i, v in asked.items()], "query_id bigint, q_name string, codes array<string>")
+    named = retrieval.name_topk(q.select("query_id", "q_name"), m.select("id", "name"), F.when(F.col("name") == F.col("q_name"), 1.0).when(F.right("name", F.lit(3)) == F.right("q_name", F.lit(3)), 0.5).otherwise(0.0), 7, 0.1)
+    likeness = lambda a, b: 1.0 if a == b else 0.5 if a[-3:] == b[-3:] else 0.0
+    want = {(k, i, r, s) for k, (n, _) in asked.items() for r, (s, i) in enumerate(sorted(((-likeness(v[0], n), i) for i, v in marks.items() if likeness(v[0], n) >= 0.1))[:7], 1)}
+    assert {(r["query_id"], r["id"], r["rank"], -r["score"]) for r in named.collect()} == want
+    coded = retrieval.codes_topk(q.select("query_id", "codes"), m.select("id", "codes"), 7)
+    jaccard = lambda a, b: round(len(set(a) & set(b)) / len(set(a) | set(b)), 4) if set(a) & set(b) else 0
+    want = {(k, i, r, -s) for k, (_, c) in asked.items() for r, (s, i) in enumerate(sorted((-jaccard(v[1], c), i) for i, v in marks.items() if jaccard(v[1], c))[:7], 1)}
+    assert {(r["query_id"], r["id"], r["rank"], r["jaccard"]) for r in coded.collect()} == want
+    for found, value in ((named, "name"), (coded, "m_set")):
+        assert f"WindowGroupLimit [{value}#" in found._jdf.queryExecution().optimizedPlan().toString()
