@@ -1,12 +1,15 @@
-"""Shared helpers: reading tables, writing intermediate tables, bounded collects."""
+"""Shared helpers: reading tables, writing intermediate tables, bounded collects, workers that give memory back."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -66,3 +69,43 @@ def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(min(buckets, 100_000), key).saveAsTable(name)
     atexit.register(_remove_at_exit, spark, path, name)
     return spark.table(name)
+
+
+#: What this worker keeps from task to task; the keys begin with the operator's name.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make):
+    """What a worker keeps from task to task under key; only the last key's is kept."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget_others(operator: str) -> None:
+    """Let go of what this worker keeps for other operators."""
+    for key in [k for k in _KEPT if k[0] != operator]:
+        del _KEPT[key]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: allocators keep it, and a worker serves one operator after the other."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def frugal(step, operator: str = ""):
+    """A step for mapInArrow that starts without what other operators have kept and ends without memory that it no longer needs."""
+
+    def run(batches):
+        forget_others(operator)
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import frugal, materialise
 
 #: Words a window has.
 WINDOW = 10
@@ -134,7 +134,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The stored positional inverted index: one row for each shard."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     # row groups are looked at after each row, as rows are long
-    return materialise(rows.mapInArrow(_index_batches, INDEX_SCHEMA), "postings", **{"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1})
+    return materialise(rows.mapInArrow(frugal(_index_batches), INDEX_SCHEMA), "postings", **{"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1})
 
 
 def test_blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS):
@@ -203,7 +203,7 @@ def term_frequency(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
-    rows = index.select("terms", "term_starts").mapInArrow(counts, "term binary, n bigint")
+    rows = index.select("terms", "term_starts").mapInArrow(frugal(counts), "term binary, n bigint")
     return {bytes(r["term"]): r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -321,7 +321,7 @@ def phrase_matches(index: DataFrame, block: TestWindows) -> DataFrame:
                 schema=_MATCH_ARROW,
             )
 
-    return index.mapInArrow(search, MATCH_SCHEMA)
+    return index.mapInArrow(frugal(search), MATCH_SCHEMA)
 
 
 def proximity_matches(index: DataFrame, bench: DataFrame, span: int = 20, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -362,7 +362,7 @@ def proximity_matches(index: DataFrame, bench: DataFrame, span: int = 20, id_col
                     names=["doc_id", "item_id", "position"],
                 )
 
-        part = index.mapInArrow(search, "doc_id bigint, item_id string, position bigint")
+        part = index.mapInArrow(frugal(search), "doc_id bigint, item_id string, position bigint")
         made = part if made is None else made.unionByName(part)
     if made is None:
         return index.sparkSession.createDataFrame([], "doc_id bigint, item_id string, position bigint")

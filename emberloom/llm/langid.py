@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, kept
+
 #: Documents sampled for each language, about (a hash threshold sets it).
 TRAIN_DOCS = 300
 #: Longest document that the sample takes, in characters.
@@ -293,15 +295,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(sorted((r[0], r[1]) for r in sample))
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def labeller_of(model: Model) -> Labeller:
     """A worker's labeller of a model, kept from task to task."""
-    if model.token not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[model.token] = Labeller(model)
-    return _LABELLERS[model.token]
+    return kept(("langid", model.token), lambda: Labeller(model))
 
 
 _SPAN = pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())])
@@ -332,7 +328,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     lo, size = k + 1, 0
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double, spans array<struct<lang:string,first_word:bigint,end_word:bigint>>")
+    made = rows.mapInArrow(frugal(run, "langid"), "doc_id bigint, lang_pred string, score double, spans array<struct<lang:string,first_word:bigint,end_word:bigint>>")
     return made.withColumnRenamed("doc_id", id_col)
 
 
@@ -353,4 +349,4 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: st
                     lo, size = k + 1, 0
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run, "langid"), docs.schema)

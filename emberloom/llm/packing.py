@@ -25,14 +25,13 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import frugal, kept, materialise
 from .tokens import PATTERN, Kept, byte_alphabet, chunks, ids_are_ranks, plain_byte_level
 
 #: Tokens of a sequence at most.
@@ -113,10 +112,9 @@ class Encoder:
         return [b"".join(map(known, own)) + self.end for own in cut]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str, end_id: int) -> Encoder:
     """A worker's encoder, kept from task to task."""
-    return Encoder(path, end_id)
+    return kept(("packing", path, end_id), lambda: Encoder(path, end_id))
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -209,7 +207,7 @@ def _first_pass(rows: DataFrame, path: str, end_id: int, size: int) -> DataFrame
                 yield _batch(made)
         yield _batch(list(packer.rest()))
 
-    return rows.mapInArrow(pack, PIECES)
+    return rows.mapInArrow(frugal(pack, "packing"), PIECES)
 
 
 def _merge(left: DataFrame, level: int, groups: int, size: int) -> DataFrame:

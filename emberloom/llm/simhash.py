@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import frugal, materialise
 from .components import components
 
 #: Words of a shingle.
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(frugal(run), "doc_id bigint, fp bigint")
 
 
 def bit_blocks(blocks: int) -> list[tuple[int, int]]:
@@ -217,7 +217,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) ->
         both = np.concatenate(out, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
 
-    return cells.repartition(tasks, "trie", "top", "a", "b").mapInArrow(join, "u bigint, v bigint")
+    return cells.repartition(tasks, "trie", "top", "a", "b").mapInArrow(frugal(join), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

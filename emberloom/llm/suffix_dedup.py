@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialise
+from .common import bucketed, frugal, materialise
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 50
@@ -556,7 +556,7 @@ def repeated_substrings(
         if held:
             yield ship()
 
-    base = bucketed(rows.mapInArrow(deal, "run bigint, texts binary"), "texts", "run", n)
+    base = bucketed(rows.mapInArrow(frugal(deal), "run bigint, texts binary"), "texts", "run", n)
 
     def grams(batches):
         for batch in batches:
@@ -568,13 +568,13 @@ def repeated_substrings(
             yield _batch([(k, r, b) for (k, _), b in zip(own, _repeated([b for _, b in own]), strict=True)], **_KINDS)
 
     def by_range(found: DataFrame, step) -> DataFrame:
-        return found.repartition(n, "range").sortWithinPartitions("range").mapInArrow(step, _DDL)
+        return found.repartition(n, "range").sortWithinPartitions("range").mapInArrow(frugal(step), _DDL)
 
     def with_runs(found: DataFrame) -> DataFrame:
         each = found.groupBy("run").agg(F.collect_list(F.struct("range", "blob")).alias("found"))
         return base.join(each.hint("merge"), "run", "left").select("run", "texts", "found")
 
-    flags = materialise(by_range(base.mapInArrow(grams, _DDL), repeated), "flags")
+    flags = materialise(by_range(base.mapInArrow(frugal(grams), _DDL), repeated), "flags")
 
     def pieces(batches):
         for batch in batches:
@@ -582,7 +582,7 @@ def repeated_substrings(
                 made, places = _sorted_run(Run(blob.as_py(), length), [(x["range"], x["blob"]) for x in own.as_py() or []], ranges)
                 yield _batch([(number.as_py(), r, b) for r, b in made] + ([(number.as_py(), -1, places)] if places else []), **_KINDS)
 
-    dealt = materialise(with_runs(flags).mapInArrow(pieces, _DDL), "pieces")
+    dealt = materialise(with_runs(flags).mapInArrow(frugal(pieces), _DDL), "pieces")
 
     def combine(batches):
         for r, own in _ranged(batches):
@@ -618,7 +618,7 @@ def repeated_substrings(
                     )
 
     ddl = f"doc_id bigint, n_bytes bigint, removed array<struct<lo:bigint,hi:bigint>>, kept string, kept_sha256 string, carried {carried}"
-    made = with_runs(dealt.where("range < 0").unionByName(found)).mapInArrow(cut, ddl)
+    made = with_runs(dealt.where("range < 0").unionByName(found)).mapInArrow(frugal(cut), ddl)
     return (made if carry else made.drop("carried")).withColumnRenamed("doc_id", id_col)
 
 
